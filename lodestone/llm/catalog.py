@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe
+from lodestone.llm import bpe, spans
 from lodestone.tables import load
 
 
@@ -11,8 +11,19 @@ def p8_ids(spark, folder):
     return bpe.encode_corpus(load(spark, folder, "documents"))
 
 
+def p10_found(spark, folder):
+    """Problem 10: the pairs of documents with a common span of 300 characters or more."""
+    return spans.sharing_pairs(spans.shared_spans(load(spark, folder, "documents")))
+
+
+def p10_shares(spark, folder):
+    """Problem 10: how much of each document lies in spans that other documents have too."""
+    docs = load(spark, folder, "documents")
+    return spans.shared_share(docs, spans.shared_spans(docs))
+
+
 def queries():
-    return {"p8_ids": p8_ids}
+    return {f.__name__: f for f in (p8_ids, p10_found, p10_shares)}
 
 
 def oracle_sql():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, spans
+from lodestone.llm import bpe, leaks, spans
 from lodestone.tables import load
 
 
@@ -11,6 +11,16 @@ def p8_ids(spark, folder):
     return bpe.encode_corpus(load(spark, folder, "documents"))
 
 
+def p9_leaks(spark, folder):
+    """Problem 9: documents with test items, how much of the item they hold, and whether they hold its answer."""
+    return leaks.find_leaks(load(spark, folder, "documents"), load(spark, folder, "eval_items"))
+
+
+def p9_found(spark, folder):
+    """Problem 9: documents and the test items of which they have 12 words in a row."""
+    return p9_leaks(spark, folder).select("doc_id", "item_id")
+
+
 def p10_found(spark, folder):
     """Problem 10: the pairs of documents with a common span of 300 characters or more."""
     return spans.sharing_pairs(spans.shared_spans(load(spark, folder, "documents")))
@@ -23,7 +33,7 @@ def p10_shares(spark, folder):
 
 
 def queries():
-    return {f.__name__: f for f in (p8_ids, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p8_ids, p9_found, p9_leaks, p10_found, p10_shares)}
 
 
 def oracle_sql():

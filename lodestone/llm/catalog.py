@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, leaks, spans
+from pyspark.sql import functions as F
+
+from lodestone.llm import bpe, leaks, neardups, neighbours, spans
 from lodestone.tables import load
 
 
+def _near(spark, folder):
+    pairs = load(spark, folder, "pair_records").select("document_id", F.col("content_file.extracted_text").alias("text"))
+    return neardups.near_duplicates(pairs, "document_id", "text")
+
+
+def p1_found(spark, folder):
+    """Problem 1: the pairs of records whose texts share 0.7 of their runs of three words."""
+    return neardups.similar_pairs(*_near(spark, folder), "document_id")
+
+
+def p1_groups(spark, folder):
+    """Problem 1: the class, the group and the number of similar records of each record."""
+    return neardups.groups(*_near(spark, folder), "document_id")
+
+
+def p2_found(spark, folder):
+    """Problem 2: the pairs of chunks of which one is among the five most similar of the other."""
+    return neighbours.neighbour_pairs(neighbours.nearest(load(spark, folder, "chunks")))
+
+
 def p8_ids(spark, folder):
     """Problem 8: the token ids of every document."""
     return bpe.encode_corpus(load(spark, folder, "documents"))
@@ -33,7 +55,7 @@ def p10_shares(spark, folder):
 
 
 def queries():
-    return {f.__name__: f for f in (p8_ids, p9_found, p9_leaks, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p8_ids, p9_found, p9_leaks, p10_found, p10_shares)}
 
 
 def oracle_sql():

@@ -5,12 +5,31 @@ Every query takes ``(spark, folder)``; a table is ``<folder>/<name>.parquet``, a
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, once a session: their Python needs it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestone_shipped", False):
+        return
+    sc._lodestone_shipped = True
+    root = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone.zip"  # the driver sends it to the executors
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` under ``folder``."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -35,8 +54,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for cut lineage: what ``spark.checkpoint.dir`` names, or one of our own where that is unset."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

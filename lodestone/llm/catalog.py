@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, leaks, neardups, neighbours, spans
+from lodestone.llm import bpe, leaks, neardups, neighbours, spans, split
 from lodestone.tables import load
 
 
@@ -28,6 +28,17 @@ def p2_found(spark, folder):
     return neighbours.neighbour_pairs(neighbours.nearest(load(spark, folder, "chunks")))
 
 
+def p4_pieces(spark, folder):
+    """Problem 4: the pieces of all texts of the store and of all chunks."""
+    texts = split.split_texts(load(spark, folder, "store_documents"), "doc_id", "text_content")
+    return texts.unionByName(split.split_texts(load(spark, folder, "chunks"), "chunk_id", "text_chunk"))
+
+
+def p4_found(spark, folder):
+    """Problem 4: the items that had to be cut, and at which boundary."""
+    return split.boundaries(p4_pieces(spark, folder))
+
+
 def p8_ids(spark, folder):
     """Problem 8: the token ids of every document."""
     return bpe.encode_corpus(load(spark, folder, "documents"))
@@ -55,7 +66,7 @@ def p10_shares(spark, folder):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p8_ids, p9_found, p9_leaks, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_shares)}
 
 
 def oracle_sql():

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, leaks, neardups, neighbours, spans, split
-from lodestone.tables import load
+from lodestone.llm import bpe, leaks, neardups, neighbours, personal, spans, split
+from lodestone.tables import load, once
 
 
 def _near(spark, folder):
@@ -39,6 +39,27 @@ def p4_found(spark, folder):
     return split.boundaries(p4_pieces(spark, folder))
 
 
+def _personal(spark, folder):
+    pairs = once(load(spark, folder, "pair_records"), "document_id")
+    store = once(load(spark, folder, "store_documents"), "doc_id")
+    meta = F.col("metadata_file.extracted_text")
+    listed = F.regexp_extract_all(meta, F.lit(r"(?m)^(?:Author|Recipient):[ \t]*(.*)$"), F.lit(1))
+    names = personal.learn_names(personal.people_segments((store, F.col("author")), (pairs, F.array_join(listed, ";"))))
+    texts = pairs.select(F.col("document_id").alias("record_id"), F.explode(F.create_map(F.lit("content_file.extracted_text"), F.col("content_file.extracted_text"), F.lit("metadata_file.extracted_text"), meta)).alias("field", "text"))
+    texts = texts.unionByName(store.select(F.col("doc_id").alias("record_id"), F.lit("author").alias("field"), F.col("author").alias("text")))
+    return personal.scan(texts, names)
+
+
+def p7_found(spark, folder):
+    """Problem 7: where personal data stand in the texts."""
+    return personal.items(_personal(spark, folder))
+
+
+def p7_redacted(spark, folder):
+    """Problem 7: the texts with typed placeholders for personal data."""
+    return _personal(spark, folder).select("record_id", "field", "redacted")
+
+
 def p8_ids(spark, folder):
     """Problem 8: the token ids of every document."""
     return bpe.encode_corpus(load(spark, folder, "documents"))
@@ -66,7 +87,7 @@ def p10_shares(spark, folder):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_pieces, p7_found, p7_redacted, p8_ids, p9_found, p9_leaks, p10_found, p10_shares)}
 
 
 def oracle_sql():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, leaks, neardups, neighbours, personal, spans, split
+from lodestone.llm import bpe, leaks, mail, neardups, neighbours, personal, spans, split
 from lodestone.tables import load, once
 
 
@@ -39,6 +39,21 @@ def p4_found(spark, folder):
     return split.boundaries(p4_pieces(spark, folder))
 
 
+def _mail(spark, folder):
+    pairs = load(spark, folder, "pair_records").where(F.lower(F.trim("category")) == "emails")
+    return mail.label_lines(pairs.select("document_id", F.col("content_file.extracted_text").alias("text")))
+
+
+def p5_found(spark, folder):
+    """Problem 5: the lines of e-mails that their senders did not newly write."""
+    return mail.not_new(_mail(spark, folder))
+
+
+def p5_new_text(spark, folder):
+    """Problem 5: what the senders of e-mails newly wrote."""
+    return _mail(spark, folder).select("document_id", "new_text")
+
+
 def _personal(spark, folder):
     pairs = once(load(spark, folder, "pair_records"), "document_id")
     store = once(load(spark, folder, "store_documents"), "doc_id")
@@ -87,7 +102,7 @@ def p10_shares(spark, folder):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_pieces, p7_found, p7_redacted, p8_ids, p9_found, p9_leaks, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_pieces, p5_found, p5_new_text, p7_found, p7_redacted, p8_ids, p9_found, p9_leaks, p10_found, p10_shares)}
 
 
 def oracle_sql():

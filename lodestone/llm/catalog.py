@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, leaks, mail, neardups, neighbours, personal, spans, split
+from lodestone.llm import bpe, leaks, mail, neardups, neighbours, personal, scans, spans, split
 from lodestone.tables import load, once
 
 
@@ -28,6 +28,21 @@ def p2_found(spark, folder):
     return neighbours.neighbour_pairs(neighbours.nearest(load(spark, folder, "chunks")))
 
 
+def _scans(spark, folder):
+    pairs = scans.records(load(spark, folder, "pair_records"), "document_id", "content_file.extracted_text")
+    return scans.repair(pairs.unionByName(scans.records(load(spark, folder, "vlm_results"), "doc_id", "text_content")))
+
+
+def p3_found(spark, folder):
+    """Problem 3: what is wrong on which page."""
+    return scans.findings(_scans(spark, folder))
+
+
+def p3_repaired(spark, folder):
+    """Problem 3: the records as continuous paragraphs."""
+    return _scans(spark, folder).select("record_id", "text")
+
+
 def p4_pieces(spark, folder):
     """Problem 4: the pieces of all texts of the store and of all chunks."""
     texts = split.split_texts(load(spark, folder, "store_documents"), "doc_id", "text_content")
@@ -102,7 +117,7 @@ def p10_shares(spark, folder):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_pieces, p5_found, p5_new_text, p7_found, p7_redacted, p8_ids, p9_found, p9_leaks, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p5_new_text, p7_found, p7_redacted, p8_ids, p9_found, p9_leaks, p10_found, p10_shares)}
 
 
 def oracle_sql():

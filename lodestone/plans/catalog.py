@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.operators import drift
-from lodestone.tables import load
-
-
-def p6_found(spark, folder):
-    """Problem 6: the changes of fields from file to file."""
-    return drift.changes(load(spark, folder, "run_records"))[0].select("file_id", "field_path", "former_path", "change").distinct()
-
-
-def p6_table(spark, folder):
-    """Problem 6: all records in one consistent table."""
-    return drift.consistent_table(load(spark, folder, "run_records"))
-
-
-def flagship(spark, folder):
-    raise NotImplementedError
+from lodestone.plans import drift_queries, registry, text_queries  # noqa: F401  (they register their queries)
 
 
 def queries():
-    return {f.__name__: f for f in (p6_found, p6_table)}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(registry.SQL)

@@ -23,7 +23,10 @@ def query(sql: str | None = None) -> Callable:
     def add(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql.format(docs=DOCS, chunks=CHUNKS, pairs=PAIRS, events=EVENTS, vlm=VLM) if "{" in sql else sql
+            text = sql
+            for name, table in (("docs", DOCS), ("chunks", CHUNKS), ("pairs", PAIRS), ("events", EVENTS), ("vlm", VLM)):
+                text = text.replace("{" + name + "}", table)
+            SQL[f.__name__] = text.replace("{{", "{").replace("}}", "}")
         return f
 
     return add

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import drift_queries, registry, relational_queries, text_queries  # noqa: F401  (they register their queries)
+from lodestone.plans import drift_queries, graph_queries, registry, relational_queries, text_queries  # noqa: F401  (they register their queries)
 
 
 def queries():
@@ -11,3 +11,8 @@ def queries():
 
 def oracle_sql():
     return dict(registry.SQL)
+
+
+def flagship(spark, folder):
+    """A question answered from all documents: chunks, vectors, nearest chunks and their documents."""
+    return graph_queries.retrieval(spark, folder)

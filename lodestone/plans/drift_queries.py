@@ -7,7 +7,26 @@ from lodestone.plans.registry import query
 from lodestone.tables import load
 
 
-@query()
+_FOUND = """with files as (select feed_id, file_id, row_number() over (partition by feed_id order by min(file_seq), file_id) as no from run_records where file_id is not null group by 1, 2),
+r as (select f.feed_id, f.no, json_extract_string(x.raw_json, '$.document_id') as doc, x.raw_json as j from run_records x join files f on f.feed_id = x.feed_id and f.file_id = x.file_id where json_valid(x.raw_json) and json_type(x.raw_json) = 'OBJECT'),
+v as (select r.feed_id, r.no, r.doc, substr(t.fullkey, 3) as path, case t.type when 'BOOLEAN' then 'boolean' when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'HUGEINT' then 'integer' when 'DOUBLE' then 'decimal' when 'VARCHAR' then 'string' when 'ARRAY' then 'array' end as kind, t.value::varchar as value
+from r, json_tree(r.j) t where t.type <> 'OBJECT' and not contains(t.fullkey, '[')),
+p as (select feed_id, no, path, max(kind) as kind from v group by all),
+come as (select * from p where no > 1 and not exists (select 1 from p q where q.feed_id = p.feed_id and q.no = p.no - 1 and q.path = p.path)),
+gone as (select p.feed_id, p.no + 1 as no, p.path, p.kind from p join files f on f.feed_id = p.feed_id and f.no = p.no + 1 where not exists (select 1 from p q where q.feed_id = p.feed_id and q.no = p.no + 1 and q.path = p.path)),
+o as (select feed_id, no, doc, path, max(case when kind is not null then value end) as value from v where doc is not null group by all),
+docs as (select distinct feed_id, no, doc from v where doc is not null), both as (select a.* from docs a join docs b on b.feed_id = a.feed_id and b.no = a.no - 1 and b.doc = a.doc),
+ren as (select c.feed_id, c.no, c.path, g.path as former from come c join gone g on g.feed_id = c.feed_id and g.no = c.no and g.kind = c.kind join both b on b.feed_id = c.feed_id and b.no = c.no
+left join o n on n.feed_id = c.feed_id and n.no = c.no and n.doc = b.doc and n.path = c.path left join o w on w.feed_id = c.feed_id and w.no = c.no - 1 and w.doc = b.doc and w.path = g.path
+group by all having bool_and(n.value is not distinct from w.value) and count(n.value) > 0),
+a as (select feed_id, no, path as field_path, former as former_path, 'renamed' as change from ren
+union all select feed_id, no, path, '', 'added' from come where (feed_id, no, path) not in (select feed_id, no, path from ren)
+union all select feed_id, no, path, '', 'removed' from gone where (feed_id, no, path) not in (select feed_id, no, former from ren)
+union all select p.feed_id, p.no, p.path, '', 'type_changed' from p join p q on q.feed_id = p.feed_id and q.no = p.no - 1 and q.path = p.path where p.kind <> q.kind)
+select distinct f.file_id, field_path, former_path, change from a join files f on f.feed_id = a.feed_id and f.no = a.no"""
+
+
+@query(_FOUND)
 def p6_found(spark, folder):
     """The changes of fields from file to file."""
     return drift.changes(load(spark, folder, "run_records"))[0].select("file_id", "field_path", "former_path", "change").distinct()

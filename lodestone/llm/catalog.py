@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, leaks, mail, neardups, neighbours, personal, scans, spans, split
+from lodestone.llm import bpe, leaks, mail, neardups, neighbours, personal, scans, spans, split, sql
 from lodestone.tables import load, once
 
 
@@ -121,4 +121,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(sql.SQL)

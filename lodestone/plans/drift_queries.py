@@ -15,8 +15,8 @@ p as (select feed_id, no, path, max(kind) as kind from v group by all),
 come as (select * from p where no > 1 and not exists (select 1 from p q where q.feed_id = p.feed_id and q.no = p.no - 1 and q.path = p.path)),
 gone as (select p.feed_id, p.no + 1 as no, p.path, p.kind from p join files f on f.feed_id = p.feed_id and f.no = p.no + 1 where not exists (select 1 from p q where q.feed_id = p.feed_id and q.no = p.no + 1 and q.path = p.path)),
 o as (select feed_id, no, doc, path, max(case when kind is not null then value end) as value from v where doc is not null group by all),
-docs as (select distinct feed_id, no, doc from v where doc is not null), both as (select a.* from docs a join docs b on b.feed_id = a.feed_id and b.no = a.no - 1 and b.doc = a.doc),
-ren as (select c.feed_id, c.no, c.path, g.path as former from come c join gone g on g.feed_id = c.feed_id and g.no = c.no and g.kind = c.kind join both b on b.feed_id = c.feed_id and b.no = c.no
+docs as (select distinct feed_id, no, doc from v where doc is not null), shared as (select a.* from docs a join docs b on b.feed_id = a.feed_id and b.no = a.no - 1 and b.doc = a.doc),
+ren as (select c.feed_id, c.no, c.path, g.path as former from come c join gone g on g.feed_id = c.feed_id and g.no = c.no and g.kind = c.kind join shared b on b.feed_id = c.feed_id and b.no = c.no
 left join o n on n.feed_id = c.feed_id and n.no = c.no and n.doc = b.doc and n.path = c.path left join o w on w.feed_id = c.feed_id and w.no = c.no - 1 and w.doc = b.doc and w.path = g.path
 group by all having bool_and(n.value is not distinct from w.value) and count(n.value) > 0),
 a as (select feed_id, no, path as field_path, former as former_path, 'renamed' as change from ren

@@ -74,8 +74,11 @@ def similar_classes(sets: DataFrame, least: float) -> DataFrame:
     a, b = (prefix.select("token", F.col("class").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
     near = (F.least("size_a", "size_b") >= F.lit(least) * F.greatest("size_a", "size_b") - 1e-9) & (F.col("a") < F.col("b"))
     candidates = a.join(b, "token").where(near).select("a", "b").distinct()
-    side = [classes.select(F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "tokens", "second", "third"))) for x in "ab"]
-    both = candidates.join(side[0], "a").join(side[1], "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+    # the prefixes of the other orders are compared first; only what passes is joined with the whole sets
+    prefixes = [classes.select(F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("second", "third"))) for x in "ab"]
+    passed = candidates.join(prefixes[0], "a").join(prefixes[1], "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+    sets_ = [classes.select(F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "tokens"))) for x in "ab"]
+    both = passed.join(sets_[0], "a").join(sets_[1], "b")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return both.select("a", "b", (common / (F.col("size_a") + F.col("size_b") - common)).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
 

@@ -149,9 +149,9 @@ def nearest(vectors: DataFrame, key: str = "chunk_id", vector: str = "embedding"
     """
     kind = vectors.schema[key].dataType.simpleString()
     all_ = cut(usable(spread(vectors), key, vector, dim))
+    # the limit of the rank lets each task drop all but k + 1 rows of a direction before the shuffle
     rank = F.row_number().over(Window.partitionBy("same").orderBy("key"))
-    ranked = cut(all_.withColumn("rank", rank))
-    index = ranked.where(F.col("rank") <= k + 1)
+    index = cut(all_.withColumn("rank", rank).where(F.col("rank") <= k + 1))
     n = index.count()
     sample = [r.vec for r in index.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vec").collect()]
     parts = max(1, min(MOST_PARTS, -(-n // part_size)))
@@ -237,8 +237,9 @@ def nearest(vectors: DataFrame, key: str = "chunk_id", vector: str = "embedding"
     order = Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour")
     found = cand.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     # members of a direction beyond the first k + 1: the answer is that of all its members but the asker
-    late = ranked.where(F.col("rank") > k + 1).select("key", "same")
-    lead = ranked.where(F.col("rank") <= k).select("same", F.col("key").alias("neighbour"), F.col("rank").alias("place"))
+    full = index.where(F.col("rank") == k + 1).select("same")
+    late = all_.select("key", "same").join(full, "same", "left_semi").join(index.select("key"), "key", "left_anti")
+    lead = index.where(F.col("rank") <= k).join(full, "same", "left_semi").select("same", F.col("key").alias("neighbour"), F.col("rank").alias("place"))
     late = late.join(lead, "same").select("key", "neighbour", F.lit(1.0).alias("similarity"), "place")
     out = found.select("key", "neighbour", "similarity", "place").unionByName(late)
     return out.withColumnRenamed("key", key)

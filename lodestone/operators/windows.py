@@ -52,6 +52,6 @@ def sections(lines: DataFrame, by: str, pos: str, line: str, heading: Column) ->
     return lines.withColumn("section", F.coalesce(F.last(F.when(heading, F.col(line)), ignorenulls=True).over(order), F.lit("Header")))
 
 
-def slide_spans(marks: DataFrame, by: str, start: str, length: str) -> DataFrame:
+def slide_spans(marks: DataFrame, by: str, start: str, length: str, *ties: str) -> DataFrame:
     """WN-05: from each mark to the next, the last to the end of the text."""
-    return marks.withColumn("end", F.coalesce(F.lead(start).over(Window.partitionBy(by).orderBy(start)), F.col(length)))
+    return marks.withColumn("end", F.coalesce(F.lead(start).over(Window.partitionBy(by).orderBy(start, *ties)), F.col(length)))

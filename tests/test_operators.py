@@ -292,3 +292,16 @@ def test_file_stream(spark, tmp_path):
 def test_cost_gate(spark):
     df = spark.createDataFrame([("d", i, 6.0) for i in range(3)], "day string, at int, cost double")
     assert [(r.spent, r.allowed) for r in W.cost_gate(df, ["day"], ["at"], "cost", 10.0).orderBy("at").collect()] == [(0.0, True), (6.0, True), (12.0, False)]
+
+
+def test_page_rules(spark):
+    from lodestone.sources import pages as P
+
+    r = P.chain(lambda raw: (" ", "first", ["blank"]), lambda raw: 1 / 0, lambda raw: (raw.decode(), "third", []))
+    assert r(b" text ") == ("text", "third", ["blank", "ZeroDivisionError: division by zero"])
+    assert P.chain(lambda raw: ("", "x", []))(b"") == ("", "none", [])
+    df = spark.createDataFrame([("a", 2, "second page"), ("a", 1, " "), ("a", 3, None), ("b", 1, None)], "doc string, page int, text string")
+    out = {x.doc: x for x in P.joined_pages(df, "doc", "page", "text").collect()}
+    assert out["a"].text == "=== Page 2 ===\nsecond page" and out["a"].success and out["b"].text == "" and not out["b"].success
+    short = spark.createDataFrame([("x" * 49, "seen"), ("x" * 50, "seen"), (None, " ")], "a string, b string")
+    assert [x.t for x in short.select(P.with_recognition(F.col("a"), F.col("b"), 50).alias("t")).collect()] == ["seen", "x" * 50, ""]

@@ -16,7 +16,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import parts_of
@@ -67,7 +67,9 @@ def similar_classes(sets: DataFrame, least: float) -> DataFrame:
     """a, b, similarity: the pairs of classes (a < b) whose sets have a similarity of ``least`` or more."""
     classes = cut(sets.drop("key").dropDuplicates(["class"]))
     postings = classes.select("class", "size", F.explode("tokens").alias("token"))
-    postings = postings.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    # counted with a partial step and joined back, so that a token of a third of all records is split between tasks
+    counts = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    postings = postings.join(counts, "token")
     listed = postings.groupBy("class", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
     places = F.col("size") - F.ceil(F.round(F.col("size") * F.lit(least), 9)) + 1 - (F.col("size") - F.size("common"))
     prefix = listed.select("class", "size", F.explode(F.slice(F.col("common.token"), F.lit(1), F.greatest(places, F.lit(0)).cast("int"))).alias("token"))

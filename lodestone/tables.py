@@ -37,8 +37,11 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as the session has cores.
 
     A scan has one task per split; a table in one file of one row group would keep all Python work on one core.
-    A scan that is wide enough is left as it is, so at scale nothing is shuffled.
+    A scan that is wide enough is left as it is, so at scale nothing is shuffled, and so is what comes from a shuffle:
+    adaptive plans choose its partitions, and asking for their number would run it.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 

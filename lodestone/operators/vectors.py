@@ -25,15 +25,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(norm > 0, dot(a, b) / norm).otherwise(0.0))
 
 
-def search(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
-    """VEC-03, TK-01: query_id, ``key``, similarity and rank of the ``k`` most similar rows of each query.
+def search(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """VEC-03, TK-01: query_id, ``key``, similarity and rank of the ``k`` most similar rows of each query, with the columns ``keep``.
 
     ``queries`` has query_id and query_vector and is checked to have at most MOST_QUERIES rows, so that sending it to all
     tasks has a bound; each task keeps the best of its own rows per query before the shuffle.  Ties go to the smaller key.
     """
     if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
         raise ValueError(f"over {MOST_QUERIES} queries: search them in several calls")
-    pairs = index.select(key, vector).join(F.broadcast(queries.select("query_id", "query_vector")))
-    scored = pairs.select("query_id", key, F.round(cosine(F.col(vector), F.col("query_vector")), 9).alias("similarity")).where("similarity is not null")
+    pairs = index.select(key, vector, *keep).join(F.broadcast(queries.select("query_id", "query_vector")))
+    scored = pairs.select("query_id", key, *keep, F.round(cosine(F.col(vector), F.col("query_vector")), 9).alias("similarity")).where("similarity is not null")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

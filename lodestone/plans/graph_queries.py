@@ -228,10 +228,10 @@ def retrieval(spark, folder, question: str = "Which records describe the quarter
     """GR-12: the question's vector, the nearest chunks of all documents, and their documents."""
     docs = _docs(spark, folder)
     chunks = K.chunk_documents(docs, K.regular_chunks(F.col("text_content")))
-    index = chunks.select("chunk_id", "doc_id", "text_chunk", V.text_vector(F.col("text_chunk")).alias("vector"))
+    index = chunks.select("chunk_id", "doc_id", F.length("text_chunk").cast("bigint").alias("context_size"), V.text_vector(F.col("text_chunk")).alias("vector"))
     asked = spark.range(1).select(F.col("id").alias("query_id"), V.text_vector(F.lit(question)).alias("query_vector"))
-    hits = V.search(index, asked, "chunk_id", "vector", k)
-    return hits.join(index.select("chunk_id", "doc_id", F.length("text_chunk").cast("bigint").alias("context_size")), "chunk_id").join(docs.select("doc_id", "file_name"), "doc_id").select(F.col("rank").cast("bigint").alias("rank"), "doc_id", "file_name", "similarity", "context_size")
+    hits = V.search(index, asked, "chunk_id", "vector", k, keep=("doc_id", "context_size"))
+    return hits.join(docs.select("doc_id", "file_name"), "doc_id").select(F.col("rank").cast("bigint").alias("rank"), "doc_id", "file_name", "similarity", "context_size")
 
 
 @query()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.tables import cut
+
 #: Queries compared with the collection at a time: the nested-loop join replicates no more than these.
 MOST_QUERIES = 1000
 
@@ -37,3 +41,20 @@ def search(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
     scored = pairs.select("query_id", key, *keep, F.round(cosine(F.col(vector), F.col("query_vector")), 9).alias("similarity")).where("similarity is not null")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def search_all(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``search`` for any number of queries, in blocks of MOST_QUERIES at most.
+
+    Blocks are numbered within the partitions of the queries, which are written first so that the numbers stay; of more
+    than one block, each block's rows are written before the next is searched.
+    """
+    if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        return search(index, queries, key, vector, k, keep)
+    wide = cut(queries.select("query_id", "query_vector"))
+    few = cut(wide.coalesce(max(1, min(wide.rdd.getNumPartitions(), wide.count() // MOST_QUERIES))).withColumn("at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    few = few.withColumns({"part": part, "block": F.floor(row / MOST_QUERIES)})
+    blocks = sorted((r["part"], r["block"]) for r in few.select("part", "block").distinct().collect())
+    done = [cut(search(index, few.where((F.col("part") == p) & (F.col("block") == b)), key, vector, k, keep)) for p, b in blocks]
+    return reduce(DataFrame.unionByName, done)

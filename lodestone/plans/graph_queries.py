@@ -54,6 +54,26 @@ def vec03_nearest_with_filter(spark, folder):
     return V.search(e.where("label = 3"), q, "vec_id", "embedding").withColumn("rank", F.col("rank").cast("bigint"))
 
 
+#: Every row whose id is divisible by 100 is a query.
+_KNN_ALL = _KNN.replace("vec_id < 10", "vec_id % 100 = 0")
+
+
+def _all_queries(e):
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query(f"select query_id, vec_id, similarity, rank::bigint as rank from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from {_KNN_ALL.format('')}) where rank <= 5")
+def vec03_nearest_vectors_all(spark, folder):
+    e = load(spark, folder, "embeddings")
+    return V.search_all(e, _all_queries(e), "vec_id", "embedding").withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(f"select query_id, vec_id, similarity, rank::bigint as rank from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from {_KNN_ALL.format('where e.label = 3')}) where rank <= 5")
+def vec03_nearest_with_filter_all(spark, folder):
+    e = load(spark, folder, "embeddings")
+    return V.search_all(e.where("label = 3"), _all_queries(e), "vec_id", "embedding").withColumn("rank", F.col("rank").cast("bigint"))
+
+
 # --- graph ----------------------------------------------------------------------------------------------------------
 _KEY = "case when contains(author, '@') then author else replace(lower(author), ' ', '.') || '@placeholder.com' end"
 _NAME = "case when contains(author, '@') then case when contains(split_part(author, '@', 1), '.') then array_to_string(list_transform(string_split(split_part(author, '@', 1), '.'), lambda x: upper(substr(x, 1, 1)) || lower(substr(x, 2))), ' ') else split_part(author, '@', 1) end else author end"

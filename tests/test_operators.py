@@ -178,6 +178,23 @@ def test_search_refuses_unbounded_query_sets(spark):
         V.search(q.select("query_id", "query_vector").toDF("k", "v"), q, "k", "v")
 
 
+def test_search_all_takes_any_number_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(V, "MOST_QUERIES", 4)
+    q = spark.range(0, 23, 1, 3).select(F.col("id").alias("query_id"), F.array(F.col("id") + 1.0, F.lit(5.0)).alias("query_vector"))
+    rows = V.search_all(q.toDF("k", "v"), q, "k", "v", 1).collect()
+    assert sorted((r.query_id, r.k, r.similarity) for r in rows) == [(i, i, 1.0) for i in range(23)]
+
+
+def test_vector_queries_take_every_hundredth_row(spark, tmp_path):
+    from lodestone.plans import catalog
+
+    e = spark.range(1201).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(i * (F.col("id") + 1)).cast("float")).alias("embedding"), F.lit(3).alias("label"))
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    e.select(F.col("vec_id").alias("chunk_id"), F.lit("d").alias("doc_id"), "embedding").limit(3).write.parquet(f"{tmp_path}/chunks.parquet")
+    for name in ("vec03_nearest_vectors_all", "vec03_nearest_with_filter_all", "ag17_mean_similarity_all"):
+        assert {r.query_id for r in catalog.queries()[name](spark, str(tmp_path)).select("query_id").collect()} == {*range(0, 1201, 100)}, name
+
+
 def test_graph(spark):
     docs = spark.createDataFrame([("d1", "mia.berg@x.org", ["pdf"], '{"references":[{"doc_id":"d2"},{"doc_id":"d3","type":"CITES"}]}'), ("d2", "Mia Berg", [], None), ("d3", " ", None, "{")], "doc_id string, author string, content_type array<string>, metadata string")
     assert {(r.id, r.name) for r in G.person_nodes(docs).collect()} == {("mia.berg@x.org", "Mia Berg"), ("mia.berg@placeholder.com", "Mia Berg")}

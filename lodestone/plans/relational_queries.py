@@ -183,6 +183,16 @@ def jn08_expand_two_hops(spark, folder):
     return R.expand(e, seeds, 2).select("seed", "node", F.col("hops").cast("bigint").alias("hops"))
 
 
+@query("""with recursive e as (select distinct 'supplier ' || l_suppkey as src, 'part ' || l_partkey as dst from lineitem where l_suppkey is not null and l_partkey is not null), b as (select src, dst from e union select dst, src from e),
+w as (select distinct 'supplier ' || l_suppkey as seed, 'supplier ' || l_suppkey as node, 0 as hops from lineitem where l_suppkey % 10 = 0 union select w.seed, b.dst, w.hops + 1 from w join b on b.src = w.node where w.hops < 2) select seed, node, min(hops)::bigint as hops from w group by seed, node""")
+def jn08_expand_two_hops_all(spark, folder):
+    t = load(spark, folder, "lineitem").where("l_suppkey is not null and l_partkey is not null")
+    supplier = F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"))
+    e = t.select(supplier.alias("src"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    seeds = t.where("l_suppkey % 10 = 0").select(supplier.alias("seed")).distinct()
+    return R.expand(e, seeds, 2).select("seed", "node", F.col("hops").cast("bigint").alias("hops"))
+
+
 #: The terms of a text: runs of word characters of any script that are three letters or more of a-z.
 _TERMS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}\p{{M}}_]+'), lambda x: regexp_full_match(x, '[a-z][a-z][a-z]+'))"
 

@@ -209,6 +209,15 @@ def test_expand_takes_the_shortest_way(spark):
     assert {(r.node, r.hops) for r in R.expand(e, s, 3).collect()} == {(1, 0), (2, 1), (3, 1), (4, 2)}
 
 
+def test_expansion_keeps_keys_of_equal_remainder_apart(spark, tmp_path):
+    from lodestone.plans import catalog
+
+    spark.createDataFrame([(10, 1), (60, 51), (10, 51), (20, 7)], "l_suppkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = catalog.queries()["jn08_expand_two_hops_all"](spark, str(tmp_path)).collect()
+    assert {(r.node, r.hops) for r in rows if r.seed == "supplier 10"} == {("supplier 10", 0), ("part 1", 1), ("part 51", 1), ("supplier 60", 2)}
+    assert {r.seed for r in rows} == {"supplier 10", "supplier 20", "supplier 60"}
+
+
 @pytest.mark.parametrize(("answer", "confidence", "parsed"), [('ok {"confidence": 0.9} bye', 0.9, True), ('{"x": 1}', 0.6, True), ("no json", 0.4, False), ("{broken}", 0.3, False), (None, 0.4, False)])
 def test_answers(spark, answer, confidence, parsed):
     a = T.parsed_answer(F.col("t"))

@@ -1,9 +1,11 @@
 """Problem 3: continuous text from scanned pages.
 
-Three passes over the collection.  The first counts its words.  The second counts which frequent words stand near each other;
-from these counts skip-gram vectors with negative sampling are trained (on the driver: the counts are a table of fixed
-size, whatever the collection's).  The third goes through every record: a rare word is linked to the frequent words that
-plausible glyph edits lead to, and where there are several the vectors of the words around it choose.  Running headers
+Three passes over the collection.  The first counts its words.  The second counts which words stand near the most frequent
+ones; from these counts skip-gram vectors with negative sampling are trained, those of the most frequent words on the driver
+(a table of fixed size, whatever the collection's), those of all other words that may be the right one in tasks, against the
+context vectors of the first.  The third goes through every record: a word is linked to the words that plausible glyph edits
+lead to, and the vectors of the words around it choose among them and accept or reject the best, so that a misreading may be
+a word itself.  Running headers
 and page numbers are found across a record's pages and removed, words cut at line ends are joined, and lines are reflowed.
 """
 
@@ -23,11 +25,15 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe import parts_of
 from lodestone.tables import cut, spread
 
-#: Words that the lexicon and the vectors have at most; rarer words beyond them are neither corrected nor candidates.
+#: Words that the lexicon has at most, rarer words beyond them are neither corrected nor candidates; words that contexts consist of.
 MOST_WORDS, VECTORS = 200_000, 1024
 DIM, WINDOW = 32, 2
 #: A word is a misreading only of one that is so many times as frequent; of short words more.
 RATIO, SHORT_RATIO, FEWEST = 8, 60, 4
+#: Odds against a misreading where the word is one itself; occurrences from which on half of a vector's evidence counts.
+REAL_ODDS, DOUBT = 1000, 10
+NEGATIVES = 5
+LOG_NEGATIVES = float(np.log(NEGATIVES))
 #: Characters of a word at most.
 LONGEST = 60
 KINDS = ("hyphen_break", "misread", "running_header", "page_number")
@@ -103,6 +109,7 @@ class Lexicon:
     def __init__(self, counts: dict[str, int], names: list[str], vectors: np.ndarray, contexts: np.ndarray):
         self.counts, self.place, self.vectors, self.contexts = counts, {w: i for i, w in enumerate(names)}, vectors, contexts
         self.known: dict[str, tuple[str, ...]] = {}
+        self.real: dict[str, tuple[str, ...]] = {}
 
     def count(self, w: str) -> int:
         return self.counts.get(w, 0)
@@ -157,20 +164,58 @@ class Lexicon:
     def most(self) -> int:
         return max(self.counts.values(), default=0)
 
+    def twins(self, word: str) -> tuple[str, ...]:
+        """The words of which ``word``, a word itself, may be a misreading in the right context: one glyph edit off, both with vectors."""
+        got = self.real.get(word)
+        if got is None:
+            if len(self.real) > 500_000:
+                self.real = {}
+            found = set()
+            if word in self.place and 3 <= len(word) <= 40:
+                for wrong, right in GLYPHS:
+                    at = word.find(wrong)
+                    while at >= 0:
+                        x = word[:at] + right + word[at + len(wrong) :]
+                        if x in self.place and self.count(x) >= FEWEST:
+                            found.add(x)
+                        at = word.find(wrong, at + 1)
+            self.real[word] = got = tuple(sorted(found - {word}, key=lambda x: (-self.count(x), x)))
+        return got
+
+    def near(self, around: list[str]) -> list[int]:
+        """The places of those words of ``around`` that contexts consist of."""
+        return [i for w in around if (i := self.place.get(w, VECTORS)) < len(self.contexts)]
+
+    def fit(self, w: str, near: list[int]) -> float:
+        """How much likelier the words around are beside ``w`` than anywhere (log); 0 if nothing is known of it."""
+        i = self.place.get(w)
+        if i is None or not near:
+            return 0.0
+        n = self.count(w)
+        return (float(self.contexts[near].sum(0) @ self.vectors[i]) + len(near) * LOG_NEGATIVES) * n / (n + DOUBT)
+
     def choose(self, options: tuple[str, ...], around: list[str]) -> str:
         """The option that fits the words around best; among options without vectors the most frequent."""
         if len(options) == 1:
             return options[0]
-        near = [self.place[w] for w in around if w in self.place]
+        near = self.near(around)
+        return max(options, key=lambda w: (np.log(self.count(w) + 1.0) + self.fit(w, near), w))
 
-        def score(w: str) -> tuple[float, str]:
-            fit = float(self.contexts[near].sum(0) @ self.vectors[self.place[w]]) if near and w in self.place else 0.0
-            return np.log(self.count(w) + 1.0) + fit, w
+    def meant(self, word: str, options: tuple[str, ...], around: list[str]) -> str | None:
+        """What of ``options`` (its links, or without any its twins) ``word`` was meant to be; none if the context speaks for ``word`` itself.
 
-        return max(options, key=score)
+        Frequencies and context are weighed together.  A word with vectors must have two words around that are known.
+        """
+        near = self.near(around)
+        best = self.choose(options, around)
+        odds = np.log((self.count(best) + 1.0) / (self.count(word) + 1.0)) + self.fit(best, near) - self.fit(word, near)
+        if options is not self.real.get(word):
+            return best if not near or odds >= 0 else None
+        against = REAL_ODDS * (1 if len(best) > 3 else SHORT_RATIO / RATIO)
+        return best if len(near) > 1 and odds >= np.log(against) and self.fit(best, near) > 0 else None
 
 
-def train(pairs: np.ndarray, n: int, dim: int = DIM, negatives: int = 5, rounds: int = 300, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def train(pairs: np.ndarray, n: int, dim: int = DIM, negatives: int = NEGATIVES, rounds: int = 300, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Skip-gram vectors with negative sampling, by gradient ascent on the expected loss over a table of pair counts."""
     rng = np.random.default_rng(seed)
     w, c = rng.normal(0, 0.1, (n, dim)), rng.normal(0, 0.1, (n, dim))
@@ -186,6 +231,18 @@ def train(pairs: np.ndarray, n: int, dim: int = DIM, negatives: int = 5, rounds:
     return w.astype(np.float32), c.astype(np.float32)
 
 
+def folded(pairs: np.ndarray, contexts: np.ndarray, right: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Vectors of further words (rows of ``pairs``) against trained ``contexts``, of which ``right`` has the totals; the loss is that of ``train``."""
+    pairs = pairs.astype(np.float32)
+    left = np.maximum(pairs.sum(1), 1.0)[:, None]
+    noise = NEGATIVES * left * (right / max(1.0, right.sum()))[None, :].astype(np.float32)
+    w = np.zeros((len(pairs), contexts.shape[1]), np.float32)
+    for _ in range(rounds):
+        s = 1 / (1 + np.exp(-np.clip(w @ contexts.T, -30, 30)))
+        w += 0.2 / left * ((pairs * (1 - s) - noise * s) @ contexts)
+    return w
+
+
 def collapsed(line: str) -> str:
     """A line without numbers and without the difference of glyphs that recognition confuses."""
     out = []
@@ -359,6 +416,8 @@ class Reader:
                 low = low or [core(t).lower() for t in tokens]
                 fixed = self.fix(t, low, i)
                 if fixed is None:
+                    if self.depends(t, low[i]):
+                        continue
                     if len(self.plain) > 500_000:
                         self.plain.clear()
                     self.plain.add(t)
@@ -372,6 +431,10 @@ class Reader:
             paragraphs.append(" ".join(words))
         return sorted(found), "\n\n".join(paragraphs)
 
+    def depends(self, token: str, low: str) -> bool:
+        """Whether the words around may make the token a misreading elsewhere."""
+        return any(w and (self.lex.links(w) or self.lex.twins(w)) for w in (low, token.lower().rstrip(TRIM), low.lstrip("(|").rstrip("!|")))
+
     def fix(self, token: str, low: list[str], i: int) -> str | None:
         """The token with its word corrected, or none if it isn't misread."""
         for w in dict.fromkeys((low[i], token.lower().rstrip(TRIM), low[i].lstrip("(|").rstrip("!|"))):
@@ -379,11 +442,13 @@ class Reader:
                 continue
             if w == low[i].lstrip("(|").rstrip("!|") and w != low[i] and self.lex.count(w):
                 return None
-            options = self.lex.links(w)
+            options = self.lex.links(w) or self.lex.twins(w)
             if options:
                 if w != low[i].lstrip("(|").rstrip("!|") and self.lex.count(low[i].lstrip("(|").rstrip("!|")) >= FEWEST:
                     return None
-                best = self.lex.choose(options, low[max(0, i - WINDOW) : i] + low[i + 1 : i + 1 + WINDOW])
+                best = self.lex.meant(w, options, low[max(0, i - WINDOW) : i] + low[i + 1 : i + 1 + WINDOW])
+                if best is None:
+                    return None
                 at = token.lower().find(w)
                 shown = token[at : at + len(w)]
                 if shown[:1].isupper():
@@ -407,36 +472,57 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(texts: DataFrame, names: list[str]) -> DataFrame:
-    """How often two of the words ``names`` stand within ``WINDOW`` words of each other: a, b (their places) and n."""
+def pair_counts(texts: DataFrame, names: list[str], most: int = VECTORS) -> DataFrame:
+    """How often a word of ``names`` stands within ``WINDOW`` words of one of its first ``most``: a, b (their places) and n."""
+    shared = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, size = {w: i for i, w in enumerate(names)}, len(names)
-        table, apart = np.zeros((size, size), np.int64), [""] * WINDOW  # between two texts
+        place, apart = shared.value, [""] * WINDOW  # between two texts
         for b in batches:
             for _, part in parts_of(b.column(0)):
                 ids = np.array([place.get(w, -1) for t in part for w in [*words_of(t), *apart]], np.int64)
+                met = []
                 for d in range(1, WINDOW + 1):
-                    x, y = ids[:-d], ids[d:]
-                    ok = (x >= 0) & (y >= 0)
-                    table += np.bincount(x[ok] * size + y[ok], minlength=size * size).reshape(size, size)
-        a, b_ = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b_.astype(np.int32)), pa.array(table[a, b_])], ["a", "b", "n"])
+                    for x, y in ((ids[:-d], ids[d:]), (ids[d:], ids[:-d])):
+                        ok = (x >= 0) & (y >= 0) & (y < most)
+                        met.append(x[ok] * most + y[ok])
+                at, n = np.unique(np.concatenate(met), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((at // most).astype(np.int32)), pa.array((at % most).astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
     return texts.mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def learn(texts: DataFrame) -> tuple[dict[str, int], list[str], np.ndarray, np.ndarray]:
-    """Word frequencies, the words with vectors, and their vectors, from a column of texts."""
+    """Word frequencies, the words with vectors, and their vectors, from a column of texts; the first words have context vectors too."""
     rows = word_counts(texts).where("n > 1").orderBy(F.desc("n"), "word").limit(MOST_WORDS).toArrow()
     counts = dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()))
-    names = [w for w in counts if w.replace("-", "").isalpha()][:VECTORS]
-    table = np.zeros((len(names), len(names)))
-    pairs = pair_counts(texts, names).toArrow()
-    table[pairs.column("a").to_numpy(), pairs.column("b").to_numpy()] = pairs.column("n").to_numpy()
-    table += table.T
-    return counts, names, *train(table, len(names))
-
+    names = [w for w in counts if w.replace("-", "").isalpha()]
+    names = names[:VECTORS] + [w for w in names[VECTORS:] if counts[w] >= FEWEST]
+    size = min(VECTORS, len(names))
+    pairs = cut(pair_counts(texts, names))
+    top = pairs.where(F.col("a") < size).toArrow()
+    table = np.zeros((size, size))
+    table[top.column("a").to_numpy(), top.column("b").to_numpy()] = top.column("n").to_numpy()
+    vectors, contexts = train(table, size)
+    right = table.sum(0)
+    more = np.zeros((len(names), DIM), np.float32)
+    more[:size] = vectors
+    if len(names) > size:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    b = batch.slice(at, 500)
+                    dense = np.zeros((b.num_rows, size), np.float32)
+                    for i, met in enumerate(b.column(1).to_pylist()):
+                        for m in met:
+                            dense[i, m["b"]] = m["n"]
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(folded(dense, contexts, right).tolist(), pa.list_(pa.float32()))], ["a", "v"])
+
+        rare = pairs.where(F.col("a") >= size).groupBy("a").agg(F.collect_list(F.struct("b", "n")).alias("met")).mapInArrow(run, "a int, v array<float>").toArrow()
+        if rare.num_rows:
+            more[rare.column("a").to_numpy()] = np.array(rare.column("v").to_pylist(), np.float32)
+    return counts, names, more, contexts
 
 
 def repair(texts: DataFrame) -> DataFrame:

@@ -224,3 +224,17 @@ def test_scan_tables(spark):
     out = {r.record_id: r for r in scans.repair(df).collect()}
     assert set(out) == {"1", "3"} and out["3"].text == "" and out["1"].found == []
     assert scans.repair(df.limit(0)).count() == 0
+
+
+def test_context_judges_words_that_are_misreadings(spark):
+    import random
+
+    rng = random.Random(5)
+    homes, wires = "house garden kitchen window family street".split(), "cable network signal speed router server".split()
+    about = lambda word, of: " ".join([*rng.sample(of, 2), word, *rng.sample(of, 2)])
+    rows = [(f"h{i}", about("modern", homes)) for i in range(300)] + [(f"w{i}", about("modem", wires)) for i in range(300)]
+    rows += [("wrong", "house garden modem family window"), ("right", "cable network modem speed signal")]
+    out = {r.record_id: r for r in scans.repair(spark.createDataFrame(rows, "record_id string, text string")).collect()}
+    assert [tuple(f) for f in out["wrong"].found] == [(1, "misread")] and out["wrong"].text == "house garden modern family window"
+    assert out["right"].found == []
+    assert not any(r.found for k, r in out.items() if k != "wrong")

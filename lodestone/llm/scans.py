@@ -1,6 +1,6 @@
 """Problem 3: continuous text from scanned pages.
 
-Three passes over the collection.  The first counts its words.  The second counts which words stand near the most frequent
+Three passes over the collection.  The first counts its words, those of copies once.  The second counts which words stand near the most frequent
 ones; from these counts skip-gram vectors with negative sampling are trained, those of the most frequent words on the driver
 (a table of fixed size, whatever the collection's), those of all other words that may be the right one in tasks, against the
 context vectors of the first.  The third goes through every record: a word is linked to the words that plausible glyph edits
@@ -12,6 +12,7 @@ and page numbers are found across a record's pages and removed, words cut at lin
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -34,6 +35,8 @@ RATIO, SHORT_RATIO, FEWEST = 8, 60, 4
 REAL_ODDS, DOUBT = 1000, 10
 NEGATIVES = 5
 LOG_NEGATIVES = float(np.log(NEGATIVES))
+#: Words of a stretch that copies count once: at least, at most.
+STRETCH, LONGEST_STRETCH = 4, 64
 #: Characters of a word at most.
 LONGEST = 60
 KINDS = ("hyphen_break", "misread", "running_header", "page_number")
@@ -457,49 +460,93 @@ class Reader:
         return None
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
+class Ends(dict):
+    """Whether a stretch ends after a word: after one of four words, the same in all texts."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = end = zlib.crc32(word.encode("utf-8", "surrogatepass")) & 3 == 0
+        return end
+
+
+_ends = Ends()
+
+
+def stretches_of(words: list[str]) -> Iterator[tuple[str, str]]:
+    """The words cut into stretches, each with the words just before it.
+
+    Where a stretch ends depends on the words near by only, so that texts cut alike where they are copies, whatever their lines.
+    """
+    start = 0
+    for i, w in enumerate(words, 1):
+        if i - start >= STRETCH and _ends[w] or i - start >= LONGEST_STRETCH or i == len(words):
+            yield " ".join(words[max(0, start - WINDOW) : start]), " ".join(words[start:i])
+            start = i
+
+
+def stretches(texts: DataFrame) -> DataFrame:
+    """The distinct stretches of a column of texts (head, body): what copies and near-copies share is there once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, part in parts_of(b.column(0)):
+                found = list({x for t in part for x in stretches_of(words_of(t))})
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], ["head", "body"])
+
+    return texts.mapInArrow(run, "head string, body string").distinct()
+
+
+def word_counts(stretch: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for b in batches:
             for _, part in parts_of(b.column(0)):
                 for t in part:
-                    counts.update(words_of(t))
+                    counts.update(t.split(" "))
                 if len(counts) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
                     counts = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    return texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return stretch.select("body").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(texts: DataFrame, names: list[str], most: int = VECTORS) -> DataFrame:
+def pair_counts(stretch: DataFrame, names: list[str], most: int = VECTORS) -> DataFrame:
     """How often a word of ``names`` stands within ``WINDOW`` words of one of its first ``most``: a, b (their places) and n."""
-    shared = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
+    shared = stretch.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, apart = shared.value, [""] * WINDOW  # between two texts
+        place, apart = shared.value, [-1] * WINDOW  # between two stretches
         for b in batches:
-            for _, part in parts_of(b.column(0)):
-                ids = np.array([place.get(w, -1) for t in part for w in [*words_of(t), *apart]], np.int64)
+            for first, part in parts_of(b.column(1)):
+                ids, new = [], []
+                for head, body in zip(b.column(0).slice(first, len(part)).to_pylist(), part):
+                    before = [place.get(w, -1) for w in head.split(" ")] if head else []
+                    own = [place.get(w, -1) for w in body.split(" ")]
+                    ids += [*before, *own, *apart]
+                    new += [False] * len(before) + [True] * (len(own) + WINDOW)  # pairs within the head are of another stretch
+                ids, new = np.array(ids, np.int64), np.array(new, bool)
                 met = []
                 for d in range(1, WINDOW + 1):
                     for x, y in ((ids[:-d], ids[d:]), (ids[d:], ids[:-d])):
-                        ok = (x >= 0) & (y >= 0) & (y < most)
+                        ok = new[d:] & (x >= 0) & (y >= 0) & (y < most)
                         met.append(x[ok] * most + y[ok])
                 at, n = np.unique(np.concatenate(met), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array((at // most).astype(np.int32)), pa.array((at % most).astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
-    return texts.mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return stretch.select("head", "body").mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def learn(texts: DataFrame) -> tuple[dict[str, int], list[str], np.ndarray, np.ndarray]:
     """Word frequencies, the words with vectors, and their vectors, from a column of texts; the first words have context vectors too."""
-    rows = word_counts(texts).where("n > 1").orderBy(F.desc("n"), "word").limit(MOST_WORDS).toArrow()
+    stretch = cut(stretches(texts))
+    rows = word_counts(stretch).where("n > 1").orderBy(F.desc("n"), "word").limit(MOST_WORDS).toArrow()
     counts = dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()))
     names = [w for w in counts if w.replace("-", "").isalpha()]
     names = names[:VECTORS] + [w for w in names[VECTORS:] if counts[w] >= FEWEST]
     size = min(VECTORS, len(names))
-    pairs = cut(pair_counts(texts, names))
+    pairs = cut(pair_counts(stretch, names))
     top = pairs.where(F.col("a") < size).toArrow()
     table = np.zeros((size, size))
     table[top.column("a").to_numpy(), top.column("b").to_numpy()] = top.column("n").to_numpy()

@@ -238,3 +238,24 @@ def test_context_judges_words_that_are_misreadings(spark):
     assert [tuple(f) for f in out["wrong"].found] == [(1, "misread")] and out["wrong"].text == "house garden modern family window"
     assert out["right"].found == []
     assert not any(r.found for k, r in out.items() if k != "wrong")
+
+
+def test_copies_do_not_make_a_misreading_frequent(spark):
+    import random
+
+    rng = random.Random(7)
+    words = "house garden kitchen window family street cable network signal speed router server".split()
+    rows = [(f"r{i}", " ".join([*rng.sample(words, 5), "clinical", *rng.sample(words, 5)])) for i in range(200)]
+    page = "house signal cable garden window speed clinica1 router family house server network"
+    rows += [(f"c{i}", f"{page.replace(' ', chr(10), i % 4)}\nunder number q{i}") for i in range(100)]
+    out = {r.record_id: r for r in scans.repair(spark.createDataFrame(rows, "record_id string, text string")).collect()}
+    assert all((1, "misread") in [tuple(f) for f in out[f"c{i}"].found] and "speed clinical router" in out[f"c{i}"].text for i in range(100))
+    assert not any(out[f"r{i}"].found for i in range(200))
+
+
+def test_stretches_have_each_word_and_pair_once():
+    words = [f"w{i * i % 37}" for i in range(300)]
+    cut = [(h.split(), b.split()) for h, b in scans.stretches_of(words)]
+    assert [w for _, b in cut for w in b] == words and cut[0][0] == []
+    assert all(h == a[-scans.WINDOW :] for (h, _), (_, a) in zip(cut[1:], cut))
+    assert list(scans.stretches_of([])) == []

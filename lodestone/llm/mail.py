@@ -9,19 +9,20 @@ ending: the lines from a closing phrase, a signature mark or the sender's name o
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.tables import once
+from lodestone.tables import cut, once
 
 #: Words in a row that count as inherited.
 RUN = 12
-#: Messages of one thread in one automaton; a longer thread goes through in stretches of so many, each with the one before.
+#: Messages of one thread in one automaton; the messages of a longer thread are compared by shuffles of their runs.
 STRETCH = 500
 PAGE = re.compile(r"=== Page \d+ ===\s*$")
 HEADER = re.compile(r"(?:From|Sent|To|Cc|CC|Bcc|BCC|Subject|Date|Reply-To|Importance|Attachments|Von|Gesendet|An|Betreff|De|Envoyé|À|Objet):")
@@ -168,6 +169,14 @@ class Message:
         m = re.match(r"(\d+)/(\d+)/(\d{4})(?:\s+(\d+):(\d+))?", s)
         return (int(m[3]), int(m[1]), int(m[2]), int(m[4] or 0), int(m[5] or 0)) if m else (0,)
 
+    @property
+    def rank(self) -> str:
+        """Sorts messages by time; equal only for copies of one message."""
+        return "\x00".join(("".join(f"{x:04d}" for x in self.time if len(self.time) > 1), *self.identity))
+
+    def last_lines(self) -> set[str]:
+        return {t for x in self.lines[-12:] if (t := x.strip())}
+
     def names(self) -> set[str]:
         """How the sender may sign: full name, first name, last name."""
         f = self.header.get("from", "")
@@ -259,12 +268,22 @@ class Message:
         return len(t) <= 110 and not (SENTENCE.search(t) and len(t.split()) > 6)
 
 
-def judge(thread: list[Message], fresh: int = 0) -> Iterator[Message]:
-    """Marks the messages of a thread from ``fresh`` on; those before are known from its last stretch."""
-    order = sorted(range(len(thread)), key=lambda i: (thread[i].time, thread[i].key))
+def settle(m: Message, words: list[tuple[str, int]], marks: list[bool], counts: Counter) -> None:
+    """Marks a message's lines, with its inherited words and how often its sender's last lines come again."""
+    m.notices()
+    total, old = Counter(x for _, x in words), Counter(x for (_, x), y in zip(words, marks) if y)
+    for line, n in old.items():
+        if n >= 0.8 * total[line] and n >= 5 and m.kind[line] is None and len(m.lines[line]) > 45 and not PHONE_LINE.search(m.lines[line]):
+            m.kind[line] = "quoted"
+    m.ending(counts)
+
+
+def judge(thread: list[Message]) -> Iterator[Message]:
+    """Marks the messages of a thread."""
+    order = sorted(range(len(thread)), key=lambda i: (thread[i].rank, thread[i].key))
     words = {i: thread[i].words() for i in order}
-    counts = Counter((thread[i].identity[0], t) for i in order for t in {x.strip() for x in thread[i].lines[-12:]} if t)
-    auto, done = Automaton(), []
+    counts = Counter((thread[i].identity[0], t) for i in order for t in thread[i].last_lines())
+    auto = Automaton()
     held: list[int] = []  # of one identity, added when the next begins: copies are no earlier messages
     for i in order:
         m = thread[i]
@@ -273,22 +292,58 @@ def judge(thread: list[Message], fresh: int = 0) -> Iterator[Message]:
                 auto.add([w for w, _ in words[k]], k)
             held = []
         held.append(i)
-        if i < fresh or not words[i]:
-            if i >= fresh:
-                done.append(i)
-            continue
-        done.append(i)
-        m.notices()
-        marks = auto.inherited([w for w, _ in words[i]], RUN)
-        total, old = Counter(x for _, x in words[i]), Counter(x for (_, x), y in zip(words[i], marks) if y)
-        for line, n in old.items():
-            if n >= 0.8 * total[line] and n >= 5 and m.kind[line] is None and len(m.lines[line]) > 45 and not PHONE_LINE.search(m.lines[line]):
-                m.kind[line] = "quoted"
-        m.ending(counts)
-    for i in done:
+        if words[i]:
+            settle(m, words[i], auto.inherited([w for w, _ in words[i]], RUN), counts)
+    for i in order:
         yield thread[i]
 
 
+def run_hashes(words: list[str]) -> list[int]:
+    """A hash of the run of RUN words from each word on."""
+    return [int.from_bytes(hashlib.blake2b(" ".join(words[i : i + RUN]).encode(), digest_size=8).digest(), "big", signed=True) for i in range(len(words) - RUN + 1)]
+
+
+def long_threads(src: DataFrame, batch: Callable, schema: str) -> DataFrame:
+    """The labelled messages of threads of any length: the rows that ``judge`` gives, by shuffles instead of one automaton.
+
+    A word is inherited if a run of RUN words around it is in an earlier message; so the earliest message of each run of the
+    thread says all.  Endings are counted by sender in an aggregate.
+    """
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                rows = [(t, k, Message(k, x)) for t, k, x in zip(*(c.to_pylist() for c in b.slice(at, 200).columns))]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([t for t, _, _ in rows], pa.string()), pa.array([k for _, k, _ in rows], pa.string()), pa.array([m.rank for *_, m in rows], pa.string()), pa.array([m.identity[0] for *_, m in rows], pa.string()),
+                    pa.array([run_hashes([w for w, _ in m.words()]) for *_, m in rows], pa.list_(pa.int64())), pa.array([sorted(m.last_lines()) for *_, m in rows], pa.list_(pa.string())),
+                ], ["thread", "key", "rank", "sender", "runs", "ends"])
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                done = []
+                for k, text, starts, known in zip(*(c.to_pylist() for c in b.slice(at, 200).columns)):
+                    m = Message(k, text)
+                    words = m.words()
+                    marks = [False] * len(words)
+                    for i in starts or ():
+                        marks[i : i + RUN] = [True] * RUN
+                    if words:
+                        settle(m, words, marks, Counter({(m.identity[0], t): 2 for t in known or ()}))
+                    done.append(m)
+                yield batch(done)
+
+    told = cut(src.select("thread", "key", "text").mapInArrow(describe, "thread string, key string, rank string, sender string, runs array<bigint>, ends array<string>"))
+    runs = told.select("thread", "key", "rank", F.posexplode("runs").alias("at", "run"))
+    first = runs.groupBy("thread", "run").agg(F.min("rank").alias("first"))
+    starts = runs.join(first, ["thread", "run"]).where("first < rank").groupBy("key").agg(F.collect_list("at").alias("starts"))
+    ends = told.select("thread", "key", "sender", F.explode("ends").alias("end"))
+    again = ends.groupBy("thread", "sender", "end").agg(F.count("*").alias("n")).where("n > 1")
+    known = ends.join(again, ["thread", "sender", "end"]).groupBy("key").agg(F.collect_list("end").alias("known"))
+    return src.join(starts, "key", "left").join(known, "key", "left").select("key", "text", "starts", "known").mapInArrow(label, schema)
+
+
 PHONE_LINE = re.compile(r"\d{3}.?\d{4}|\|| \d{5}\b|^\d+[a-z]? [A-Z]")
 
 
@@ -315,25 +370,25 @@ def label_lines(mails: DataFrame, key: str = "document_id", text: str = "text")
         return pa.RecordBatch.from_arrays([pa.array([m.key for m in done], pa.string()), pa.array(listed, pa.list_(line)), pa.array(fresh, pa.string())], [key, "lines", "new_text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        thread, held, fresh, out = None, [], 0, []
+        thread, held, out = None, [], []
         for b in batches:
             for name, k, t in zip(*(c.to_pylist() for c in b.columns)):
                 if name != thread:
-                    out += judge(held, fresh)
-                    thread, held, fresh = name, [], 0
-                elif len(held) - fresh >= STRETCH:
-                    out += judge(held, fresh)
-                    held = [Message(m.key, "\n".join(m.lines)) for m in held[fresh:]]
-                    fresh = len(held)
+                    out += judge(held)
+                    thread, held = name, []
                 held.append(Message(k, t))
                 if len(out) > 2000:
                     yield batch(out)
                     out = []
-        out += judge(held, fresh)
+        out += judge(held)
         yield batch(out)
 
-    found = src.repartition("thread").sortWithinPartitions("thread", "key").mapInArrow(run, f"`{key}` string, lines array<struct<line_no bigint, kind string>>, new_text string")
-    return found
+    schema = f"`{key}` string, lines array<struct<line_no bigint, kind string>>, new_text string"
+    src = cut(src)
+    long = cut(src.groupBy("thread").agg(F.count("*").alias("n")).where(F.col("n") > STRETCH).select("thread"))
+    rest = src if long.isEmpty() else src.join(long, "thread", "left_anti")
+    found = rest.select("thread", "key", "text").repartition("thread").sortWithinPartitions("thread", "key").mapInArrow(run, schema)
+    return found if rest is src else found.unionByName(long_threads(src.join(long, "thread", "left_semi"), batch, schema))
 
 
 def not_new(labelled: DataFrame, key: str = "document_id") -> DataFrame:

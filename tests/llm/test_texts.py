@@ -259,3 +259,16 @@ def test_stretches_have_each_word_and_pair_once():
     assert [w for _, b in cut for w in b] == words and cut[0][0] == []
     assert all(h == a[-scans.WINDOW :] for (h, _), (_, a) in zip(cut[1:], cut))
     assert list(scans.stretches_of([])) == []
+
+
+def test_long_threads_are_compared_whole(spark, monkeypatch):
+    old = "the quick brown fox jumps over the lazy dog and then goes home to sleep for a week"
+    bodies = [f"Message {i} says something of its own here." for i in range(40)]
+    bodies[0], bodies[33] = old, f"I agree with all of that.\n\n{old}\n\nBest,\nP"
+    # the keys run against the time
+    rows = [(f"{99 - i:02d}", f"From: p{i % 3}@x.y\nSent: 1/{i % 28 + 1}/{2020 + i // 28} 1:00\nSubject: Re: same\n\n{t}\nThe team") for i, t in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "document_id string, text string")
+    whole = {r.document_id: (r.lines, r.new_text) for r in mail.label_lines(df).collect()}
+    monkeypatch.setattr(mail, "STRETCH", 5)
+    assert {r.document_id: (r.lines, r.new_text) for r in mail.label_lines(df).collect()} == whole
+    assert whole["66"][1].startswith("I agree") and "fox" not in whole["66"][1] and "fox" in whole["99"][1]

@@ -157,7 +157,7 @@ def history(records: DataFrame, raw: str = "raw_json", doc: str = "document_id")
     asked = pairs.select("feed_id", "no", "path", F.lit(True).alias("new"), F.col("no").alias("file_no"))
     asked = asked.unionByName(pairs.select("feed_id", "no", F.col("former").alias("path"), F.lit(False).alias("new"), (F.col("no") - 1).alias("file_no")))
     wanted = asked.groupBy("feed_id", "file_no").agg(F.collect_set(F.struct("no", "path", "new")).alias("paths")).join(files.select("feed_id", "file_id", F.col("no").alias("file_no")), ["feed_id", "file_no"]).drop("file_no")
-    values = values_at(records, wanted, raw, doc)
+    values = cut(values_at(records, wanted, raw, doc))  # read twice
     new = values.where("new").select("feed_id", "no", "doc", "path", F.col("digest").alias("new_value"))
     old = values.where("not new").select("feed_id", "no", "doc", F.col("path").alias("former"), F.col("digest").alias("old_value"))
     # one row a pair and document of both files; a path of an asked file has a row for each of its documents

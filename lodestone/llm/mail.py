@@ -1,10 +1,13 @@
 """Problem 5: the newly written text of e-mails.
 
-Messages are gathered by thread (the subject without reply marks).  A generalised suffix automaton holds the words of a
-thread's messages as far as their senders wrote them; a long run of words of a later message that the automaton has
-from an earlier one is inherited, however its lines are wrapped and marked.  Lines are quoted if they are inherited, carry
-quote marks, or belong to an introduced message.  From what is left, banners and legal notices are cut, and then the
-ending: the lines from a closing phrase, a signature mark or the sender's name on, if only endings follow.
+Messages are gathered by thread (the subject without reply marks).  A generalised suffix automaton holds all words of all
+messages of a thread, quoted ones too, without their quote marks; each of its states knows how near to the top of a message
+its words stand in the thread, and in whose.  Who quotes puts words above what is quoted, so a long run of words that
+another message of the thread has nearer to its top is inherited, however its lines are wrapped and marked and whatever
+the clocks of the senders say.  Inherited lines are quoted; introductions, quote marks and headers extend them to the lines
+around, and stand for themselves where the thread doesn't have the original.  From what is left, banners and legal notices
+are cut, and then the ending: endings of the same sender that come again, and the lines from a closing phrase, a signature
+mark or the sender's name on, if only endings follow.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from lodestone.tables import cut, once
 RUN = 12
 #: Messages of one thread in one automaton; the messages of a longer thread are compared by shuffles of their runs.
 STRETCH = 500
+NOWHERE = (1 << 60, -1)
 PAGE = re.compile(r"=== Page \d+ ===\s*$")
 HEADER = re.compile(r"(?:From|Sent|To|Cc|CC|Bcc|BCC|Subject|Date|Reply-To|Importance|Attachments|Von|Gesendet|An|Betreff|De|Envoyé|À|Objet):")
 RULE = re.compile(r"(?:-{2,} ?(?:Original Message|Forwarded [Mm]essage|Weitergeleitete Nachricht|Ursprüngliche Nachricht|Message d'origine|Message transféré)[ -]*-{2,}|Begin forwarded message:)\s*$", re.I)
@@ -58,57 +62,65 @@ LEGAL = (
 
 
 class Automaton:
-    """A generalised suffix automaton over words; each state knows the first text it came from."""
+    """A generalised suffix automaton over words; each state knows the nearest place to the top of a text where its words end."""
 
     def __init__(self) -> None:
         self.next: list[dict[str, int]] = [{}]
-        self.link, self.length, self.text = [-1], [0], [-1]
+        self.link, self.length = [-1], [0]
+        #: (place of the last word, text) by state, of the texts that end there; ``settle`` carries them to all states.
+        self.end: list[tuple[int, int]] = [NOWHERE]
 
-    def _state(self, length: int, text: int, edges: dict[str, int], link: int) -> int:
+    def _state(self, length: int, edges: dict[str, int], link: int) -> int:
         self.next.append(edges)
         self.link.append(link)
         self.length.append(length)
-        self.text.append(text)
+        self.end.append(NOWHERE)
         return len(self.next) - 1
 
     def add(self, words: list[str], text: int) -> None:
         last = 0
-        for w in words:
+        for i, w in enumerate(words):
             q = self.next[last].get(w)
             if q is not None:
                 last = q if self.length[q] == self.length[last] + 1 else self._split(last, w, q)
-                continue
-            new, p = self._state(self.length[last] + 1, text, {}, 0), last
-            while p >= 0 and w not in self.next[p]:
-                self.next[p][w] = new
-                p = self.link[p]
-            if p >= 0:
-                q = self.next[p][w]
-                self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
-            last = new
+            else:
+                new, p = self._state(self.length[last] + 1, {}, 0), last
+                while p >= 0 and w not in self.next[p]:
+                    self.next[p][w] = new
+                    p = self.link[p]
+                if p >= 0:
+                    q = self.next[p][w]
+                    self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
+                last = new
+            self.end[last] = min(self.end[last], (i, text))
 
     def _split(self, p: int, w: str, q: int) -> int:
-        copy = self._state(self.length[p] + 1, self.text[q], dict(self.next[q]), self.link[q])
+        copy = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
         self.link[q] = copy
         while p >= 0 and self.next[p].get(w) == q:
             self.next[p][w] = copy
             p = self.link[p]
         return copy
 
-    def inherited(self, words: list[str], least: int) -> list[bool]:
-        """Which words lie in a run of ``least`` or more that some text of the automaton has."""
-        out, state, length = [False] * len(words), 0, 0
+    def settle(self, least: int) -> None:
+        """To be called when all texts are added: where runs of ``least`` words end first, for every state of such a run."""
+        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
+        for v in reversed(order):
+            u = self.link[v]
+            self.end[u] = min(self.end[u], self.end[v])
+        #: For a state of longer words, the state of their last ``least`` words.
+        self.run = [0] * len(self.next)
+        for v in order:
+            if self.length[v] >= least:
+                self.run[v] = v if self.length[self.link[v]] < least else self.run[self.link[v]]
+
+    def runs(self, words: list[str], least: int) -> list[int]:
+        """The state of the run of ``least`` words from each word on, of a text that was added."""
+        out, state = [], 0
         for i, w in enumerate(words):
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                length = self.length[state]
-            if w in self.next[state]:
-                state, length = self.next[state][w], length + 1
-            else:
-                length = 0
-            if length >= least:
-                for k in range(i - length + 1 if length == least else i, i + 1):
-                    out[k] = True
+            state = self.next[state][w]
+            if i + 1 >= least:
+                out.append(self.run[state])
         return out
 
 
@@ -117,6 +129,8 @@ class Message:
         self.key = key
         self.lines = [x.rstrip("\r") for x in text.split("\n")]
         self.kind: list[str | None] = [None] * len(self.lines)
+        #: Why a line is quoted: inherited, extended (structure around an inherited line) or structure.
+        self.how: list[str | None] = [None] * len(self.lines)
         self.header: dict[str, str] = {}
         self._structure()
 
@@ -155,8 +169,8 @@ class Message:
         return any(0 <= k < len(self.lines) and MARKED.match(self.lines[k]) and not MORE_THAN.match(self.lines[k]) for k in (i - 1, i + 1))
 
     def words(self) -> list[tuple[str, int]]:
-        """The words that no structure marks, with their lines."""
-        return [(w, i) for i in range(self.top, len(self.lines)) if self.kind[i] is None for w in re.findall(r"\w+", self.lines[i].lower())]
+        """All words below the message's own header, quoted ones too, with their lines."""
+        return [(w, i) for i in range(self.top, len(self.lines)) if self.kind[i] != "header" for w in re.findall(r"\w+", self.lines[i].lower())]
 
     @property
     def identity(self) -> tuple[str, str]:
@@ -164,18 +178,14 @@ class Message:
         return self.header.get("from", self.key), self.header.get("sent", self.header.get("date", self.key))
 
     @property
-    def time(self) -> tuple:
-        s = self.header.get("sent", self.header.get("date", ""))
-        m = re.match(r"(\d+)/(\d+)/(\d{4})(?:\s+(\d+):(\d+))?", s)
-        return (int(m[3]), int(m[1]), int(m[2]), int(m[4] or 0), int(m[5] or 0)) if m else (0,)
-
-    @property
-    def rank(self) -> str:
-        """Sorts messages by time; equal only for copies of one message."""
-        return "\x00".join(("".join(f"{x:04d}" for x in self.time if len(self.time) > 1), *self.identity))
+    def sender(self) -> str:
+        """The sender's names, whatever form the header gives them in."""
+        return " ".join(sorted({w for n in self.names() for w in n.split(" ") if w})) or self.header.get("from", self.key)
 
     def last_lines(self) -> set[str]:
-        return {t for x in self.lines[-12:] if (t := x.strip())}
+        """The lines that a sender's ending may consist of: the last of the message and the last that no structure marks."""
+        own = [x for i, x in enumerate(self.lines) if i >= self.top and self.kind[i] is None and x.strip()]
+        return {t for x in self.lines[-12:] + own[-12:] if (t := x.strip())}
 
     def names(self) -> set[str]:
         """How the sender may sign: full name, first name, last name."""
@@ -253,7 +263,7 @@ class Message:
                 if not self._endlike(t):
                     break
                 anchor = CLOSING.match(t) or MARK.match(t) or CONTACT.match(t) or self._signs(t, names) or begin == x + 1 and BARE_NAME.match(t) and CONTACT.match(self.lines[stretch[x + 1]].strip())
-                if anchor or known[(self.identity[0], t)] > 1 and begin is not None:
+                if anchor or known[(self.sender, t)] > 1 and begin is not None:
                     begin = x
             if begin is not None:
                 for k in stretch[begin:]:
@@ -268,46 +278,120 @@ class Message:
         return len(t) <= 110 and not (SENTENCE.search(t) and len(t.split()) > 6)
 
 
-def settle(m: Message, words: list[tuple[str, int]], marks: list[bool], counts: Counter) -> None:
-    """Marks a message's lines, with its inherited words and how often its sender's last lines come again."""
-    m.notices()
-    total, old = Counter(x for _, x in words), Counter(x for (_, x), y in zip(words, marks) if y)
-    for line, n in old.items():
-        if n >= 0.8 * total[line] and n >= 5 and m.kind[line] is None and len(m.lines[line]) > 45 and not PHONE_LINE.search(m.lines[line]):
-            m.kind[line] = "quoted"
-    m.ending(counts)
+    def inherit(self, words: list[tuple[str, int]], sources: dict[int, str], counts: Counter) -> None:
+        """Quotes what is inherited.
+
+        ``sources`` has the inherited runs: the place of their first word among ``words``, and the sender of the message
+        that they come from.
+        """
+        old: dict[int, set[str]] = {}  # senders by inherited word
+        for at, whose in sources.items():
+            for k in range(at, at + RUN):
+                old.setdefault(k, set()).add(whose)
+        total, known = Counter(x for _, x in words), Counter(words[k][1] for k in old)
+        senders: dict[int, set[str]] = {}
+        for k, whose in old.items():
+            senders.setdefault(words[k][1], set()).update(whose)
+        lines, kind = self.lines, self.kind
+        taken = [i for i in sorted(total) if known[i] >= 0.8 * total[i]]
+        for i in taken:
+            if kind[i] == "quoted":
+                self.how[i] = "inherited"
+        # what no structure marks: stretches of inherited lines, with what stands between two of them
+        free = [i for i in taken if kind[i] in (None, "disclaimer") and known[i] >= 0.9 * total[i]]
+        blocks: list[list[int]] = []
+        for i in free:
+            between = [k for k in range(blocks[-1][-1] + 1, i) if lines[k].strip()] if blocks else []
+            if blocks and all(kind[k] in (None, "disclaimer") for k in between) and len(between) <= 1:
+                blocks[-1].append(i)
+            else:
+                blocks.append([i])
+        for block in blocks:
+            # the sender's own ending stands above the history and may come from their earlier messages
+            while block and (kind[block[0]] == "disclaimer" or self._own_ending(block[0], senders[block[0]], counts)):
+                block.pop(0)
+            if sum(total[i] for i in block if kind[i] is None and not self._contact(i)) < RUN:
+                continue  # an ending or a greeting that others quote too
+            for k in range(block[0], block[-1] + 1):
+                kind[k] = "quoted"
+                self.how[k] = "inherited"
+            k = block[0] - 1
+            while k >= self.top and (kind[k] is None and (HEADER.match(lines[k]) or not lines[k].strip())):
+                k -= 1
+            if k >= self.top and kind[k] is None and (WROTE.match(lines[k]) or INTRODUCED.match(lines[k])):
+                k -= 1
+            while k + 1 < block[0] and not lines[k + 1].strip():
+                k += 1
+            for x in range(k + 1, block[0]):
+                kind[x], self.how[x] = "quoted", "extended"
+
+    def _own_ending(self, i: int, senders: set[str], counts: Counter) -> bool:
+        t = self.lines[i].strip()
+        return self._endlike(t) and (senders <= {self.sender} or counts[(self.sender, t)] > 1 or self._contact(i))
+
+    def _contact(self, i: int) -> bool:
+        t = self.lines[i].strip()
+        return len(t) <= 110 and bool(CLOSING.match(t) or DEVICE.match(t) or CONTACT.match(t) or PHONE_LINE.search(t))
+
+    def settle(self, words: list[tuple[str, int]], sources: dict[int, str], counts: Counter) -> None:
+        """Marks the lines, with the inherited runs and how often the sender's last lines come again."""
+        self.notices()
+        self.inherit(words, sources, counts)
+        self.ending(counts)
+        lines, n = self.lines, len(self.lines)
+        # a quoted stretch with an inherited line is extended by its structure; one without stands for itself
+        i = 0
+        while i < n:
+            if self.kind[i] != "quoted":
+                i += 1
+                continue
+            j = i
+            while j < n and (self.kind[j] == "quoted" or not lines[j].strip()):
+                j += 1
+            reached = any(self.how[k] == "inherited" for k in range(i, j))
+            for k in range(i, j):
+                if self.kind[k] == "quoted" and self.how[k] is None:
+                    self.how[k] = "extended" if reached else "structure"
+            i = j
 
 
 def judge(thread: list[Message]) -> Iterator[Message]:
     """Marks the messages of a thread."""
-    order = sorted(range(len(thread)), key=lambda i: (thread[i].rank, thread[i].key))
-    words = {i: thread[i].words() for i in order}
-    counts = Counter((thread[i].identity[0], t) for i in order for t in thread[i].last_lines())
+    words = [m.words() for m in thread]
+    counts: Counter = Counter()
+    for sender, _, t in {(m.sender, m.identity, t) for m in thread for t in m.last_lines()}:
+        counts[(sender, t)] += 1
     auto = Automaton()
-    held: list[int] = []  # of one identity, added when the next begins: copies are no earlier messages
-    for i in order:
-        m = thread[i]
-        if held and thread[held[0]].identity != m.identity:
-            for k in held:
-                auto.add([w for w, _ in words[k]], k)
-            held = []
-        held.append(i)
-        if words[i]:
-            settle(m, words[i], auto.inherited([w for w, _ in words[i]], RUN), counts)
-    for i in order:
-        yield thread[i]
-
-
-def run_hashes(words: list[str]) -> list[int]:
-    """A hash of the run of RUN words from each word on."""
-    return [int.from_bytes(hashlib.blake2b(" ".join(words[i : i + RUN]).encode(), digest_size=8).digest(), "big", signed=True) for i in range(len(words) - RUN + 1)]
+    if len(thread) > 1:
+        for k, w in enumerate(words):
+            auto.add([x for x, _ in w], k)
+        auto.settle(RUN)
+    runs = [auto.runs([x for x, _ in w], RUN) if len(thread) > 1 else [] for w in words]
+    own: dict[tuple, int] = {}  # where copies of one message have a run first
+    for m, states in zip(thread, runs):
+        for at, state in enumerate(states):
+            key = (m.identity, state)
+            own[key] = min(own.get(key, at), at)
+    for m, w, states in zip(thread, words, runs):
+        sources = {}
+        for at, state in enumerate(states):
+            end, text = auto.end[state]
+            if end - RUN + 1 < own[(m.identity, state)]:
+                sources[at] = thread[text].sender
+        m.settle(w, sources, counts)
+        yield m
+
+
+def run_hashes(thread: str, words: list[str]) -> list[int]:
+    """A hash of the thread and the run of RUN words from each word on."""
+    return [int.from_bytes(hashlib.blake2b(" ".join([thread, *words[i : i + RUN]]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for i in range(len(words) - RUN + 1)]
 
 
 def long_threads(src: DataFrame, batch: Callable, schema: str) -> DataFrame:
     """The labelled messages of threads of any length: the rows that ``judge`` gives, by shuffles instead of one automaton.
 
-    A word is inherited if a run of RUN words around it is in an earlier message; so the earliest message of each run of the
-    thread says all.  Endings are counted by sender in an aggregate.
+    What the automaton's states of runs know, where the run stands nearest to the top and in whose message, is an
+    aggregate by run, and so is how often a sender's last lines come again.
     """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,9 +399,9 @@ def long_threads(src: DataFrame, batch: Callable, schema: str) -> DataFrame:
             for at in range(0, b.num_rows, 200):
                 rows = [(t, k, Message(k, x)) for t, k, x in zip(*(c.to_pylist() for c in b.slice(at, 200).columns))]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([t for t, _, _ in rows], pa.string()), pa.array([k for _, k, _ in rows], pa.string()), pa.array([m.rank for *_, m in rows], pa.string()), pa.array([m.identity[0] for *_, m in rows], pa.string()),
-                    pa.array([run_hashes([w for w, _ in m.words()]) for *_, m in rows], pa.list_(pa.int64())), pa.array([sorted(m.last_lines()) for *_, m in rows], pa.list_(pa.string())),
-                ], ["thread", "key", "rank", "sender", "runs", "ends"])
+                    pa.array([t for t, _, _ in rows], pa.string()), pa.array([k for _, k, _ in rows], pa.string()), pa.array(["\0".join(m.identity) for *_, m in rows], pa.string()), pa.array([m.sender for *_, m in rows], pa.string()),
+                    pa.array([run_hashes(t, [w for w, _ in m.words()]) for t, _, m in rows], pa.list_(pa.int64())), pa.array([sorted(m.last_lines()) for *_, m in rows], pa.list_(pa.string())),
+                ], ["thread", "key", "identity", "sender", "runs", "ends"])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,21 +409,18 @@ def long_threads(src: DataFrame, batch: Callable, schema: str) -> DataFrame:
                 done = []
                 for k, text, starts, known in zip(*(c.to_pylist() for c in b.slice(at, 200).columns)):
                     m = Message(k, text)
-                    words = m.words()
-                    marks = [False] * len(words)
-                    for i in starts or ():
-                        marks[i : i + RUN] = [True] * RUN
-                    if words:
-                        settle(m, words, marks, Counter({(m.identity[0], t): 2 for t in known or ()}))
+                    m.settle(m.words(), {x["at"]: x["whose"] for x in starts or ()}, Counter({(m.sender, t): 2 for t in known or ()}))
                     done.append(m)
                 yield batch(done)
 
-    told = cut(src.select("thread", "key", "text").mapInArrow(describe, "thread string, key string, rank string, sender string, runs array<bigint>, ends array<string>"))
-    runs = told.select("thread", "key", "rank", F.posexplode("runs").alias("at", "run"))
-    first = runs.groupBy("thread", "run").agg(F.min("rank").alias("first"))
-    starts = runs.join(first, ["thread", "run"]).where("first < rank").groupBy("key").agg(F.collect_list("at").alias("starts"))
-    ends = told.select("thread", "key", "sender", F.explode("ends").alias("end"))
-    again = ends.groupBy("thread", "sender", "end").agg(F.count("*").alias("n")).where("n > 1")
+    told = cut(src.select("thread", "key", "text").mapInArrow(describe, "thread string, key string, identity string, sender string, runs array<bigint>, ends array<string>"))
+    runs = told.select("key", "identity", "sender", F.posexplode("runs").alias("at", "run"))
+    first = runs.groupBy("run").agg(F.min(F.struct("at", "sender")).alias("first"))
+    own = runs.groupBy("run", "identity").agg(F.min("at").alias("own"))
+    old = own.join(first, "run").where(F.col("first.at") < F.col("own")).select("run", "identity", F.col("first.sender").alias("whose"))
+    starts = runs.join(old, ["run", "identity"]).groupBy("key").agg(F.collect_list(F.struct("at", "whose")).alias("starts"))
+    ends = told.select("thread", "key", "identity", "sender", F.explode("ends").alias("end"))
+    again = ends.select("thread", "identity", "sender", "end").distinct().groupBy("thread", "sender", "end").agg(F.count("*").alias("n")).where("n > 1")
     known = ends.join(again, ["thread", "sender", "end"]).groupBy("key").agg(F.collect_list("end").alias("known"))
     return src.join(starts, "key", "left").join(known, "key", "left").select("key", "text", "starts", "known").mapInArrow(label, schema)
 
@@ -348,10 +429,11 @@ PHONE_LINE = re.compile(r"\d{3}.?\d{4}|\|| \d{5}\b|^\d+[a-z]? [A-Z]")
 
 
 def label_lines(mails: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
-    """``key``, lines (line_no from 1, kind) and new_text of each mail.
+    """``key``, lines (line_no from 1, kind, how) and new_text of each mail.
 
     kind is null for what the sender newly wrote, header for page lines and the message's own header, quoted, signature
-    or disclaimer; blank lines are left out of ``lines``.  new_text has the lines of null kind, with single blank lines
+    or disclaimer; how tells of a quoted line whether it is inherited from a message of the thread, extends such lines, or
+    has only its own structure to tell; blank lines are left out of ``lines``.  new_text has the lines of null kind, with single blank lines
     between paragraphs.  Null texts are left out, an empty text has no lines and an empty new_text.  Rows of one key are
     taken as copies.  A mail without a subject is a thread of its own.
     """
@@ -359,12 +441,12 @@ def label_lines(mails: DataFrame, key: str = "document_id", text: str = "text")
     subject = F.regexp_extract("text", r"(?m)^Subject:[ \t]*(.*)$", 1)
     bare = F.trim(F.regexp_replace(F.lower(subject), r"^(?:\s*(?:re|fw|fwd|aw|wg|tr)\s*(?:\[\d+\])?:)+", ""))
     src = src.select(F.when(bare == "", F.concat(F.lit("\u0000"), "key")).otherwise(bare).alias("thread"), "key", "text")
-    line = pa.struct([("line_no", pa.int64()), ("kind", pa.string())])
+    line = pa.struct([("line_no", pa.int64()), ("kind", pa.string()), ("how", pa.string())])
 
     def batch(done: list[Message]) -> pa.RecordBatch:
         listed, fresh = [], []
         for m in done:
-            listed.append([{"line_no": i + 1, "kind": k} for i, (k, t) in enumerate(zip(m.kind, m.lines)) if t.strip()])
+            listed.append([{"line_no": i + 1, "kind": k, "how": h} for i, (k, h, t) in enumerate(zip(m.kind, m.how, m.lines)) if t.strip()])
             own = "\n".join(t if k is None else "" for k, t in zip(m.kind, m.lines))
             fresh.append(re.sub(r"\n\s*\n+", "\n\n", own).strip())
         return pa.RecordBatch.from_arrays([pa.array([m.key for m in done], pa.string()), pa.array(listed, pa.list_(line)), pa.array(fresh, pa.string())], [key, "lines", "new_text"])
@@ -383,7 +465,7 @@ def label_lines(mails: DataFrame, key: str = "document_id", text: str = "text")
         out += judge(held)
         yield batch(out)
 
-    schema = f"`{key}` string, lines array<struct<line_no bigint, kind string>>, new_text string"
+    schema = f"`{key}` string, lines array<struct<line_no bigint, kind string, how string>>, new_text string"
     src = cut(src)
     long = cut(src.groupBy("thread").agg(F.count("*").alias("n")).where(F.col("n") > STRETCH).select("thread"))
     rest = src if long.isEmpty() else src.join(long, "thread", "left_anti")

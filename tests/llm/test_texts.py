@@ -105,12 +105,56 @@ def test_unmarked_history_is_inherited_whatever_its_wrapping():
     assert all(v is None for i, v in kinds(old, new).items() if i > 3 or v is None) or kinds(old)[5] is None
 
 
+def test_history_wrapped_at_twenty_columns_with_short_lines_and_numbers_is_inherited():
+    words = "call me on 555 0170 today and the quick brown fox jumps over the lazy dog, then 12 Oak Street and home to sleep".split()
+    old = "From: t@x.y\nSent: 1/1/2020 1:00\nSubject: x\n\n" + " ".join(words)
+    wrapped = "\n".join(" ".join(words[i : i + 3]) for i in range(0, len(words), 3))
+    new = f"From: m@x.y\nSent: 1/2/2020 1:00\nSubject: Re: x\n\nI agree with all of what you say there.\n\n{wrapped}\n\nMy last word on it."
+    k = kinds(new, old)
+    assert k[5] is None and {v for i, v in k.items() if 7 <= i <= 14} == {"quoted"} and k[max(k)] is None
+
+
+def test_automaton_finds_most_quoted_lines(monkeypatch):
+    """Without the automaton, history that carries no marks is taken as newly written."""
+    say = lambda i: f"Person {i} begins here with number {i}.\n" + "\n".join(f"Then {w} number {i} of the group goes on about {w} for a while" for w in ("alpha", "beta", "gamma", "delta"))
+    texts, history = [], ""
+    for i in range(6):
+        texts.append(f"From: p{i}@x.y\nSent: 1/{i + 1}/2020 1:00\nSubject: x\n\n{say(i)}\n{history}")
+        history = say(i) + "\n\n" + history
+
+    def quoted():
+        return sum(k == "quoted" for m in mail.judge([mail.Message(str(i), t) for i, t in enumerate(texts)]) for k in m.kind)
+
+    with_it = quoted()
+    monkeypatch.setattr(mail.Automaton, "runs", lambda self, words, least: [])
+    assert with_it >= 5 * sum(range(6)) and quoted() == 0
+
+
+def test_most_quoted_lines_of_the_table_come_from_the_automaton(spark, folder):
+    from lodestone.llm import catalog
+
+    hows = [x.how for r in catalog._mail(spark, folder).collect() for x in r.lines if x.kind == "quoted"]
+    assert hows.count("structure") < 0.5 * len(hows) and hows.count("inherited") > 0.25 * len(hows)
+
+
+def test_clocks_do_not_matter():
+    """A mail that quotes one with a later time is the one that quotes."""
+    old = "From: t@x.y\nSent: 1/1/2020 9:00\nSubject: x\n\n" + "the quick brown fox jumps over the lazy dog and then goes home to sleep for a week"
+    new = "From: m@x.y\nSent: 1/1/2020 1:00\nSubject: Re: x\n\nI agree with all of what you say there.\n\nthe quick brown fox jumps over the lazy dog and then\ngoes home to sleep for a week"
+    assert kinds(new, old)[7] == "quoted" and kinds(old, new)[5] is None
+
+
 def test_suffix_automaton_finds_runs():
+    texts = ["a b c d e f".split(), "x c d e y".split(), "c d e f a b c d e".split()]
     a = mail.Automaton()
-    a.add("a b c d e f".split(), 0)
-    a.add("x c d e y".split(), 1)
-    assert a.inherited("q b c d e z x c d".split(), 3) == [False, True, True, True, True, False, True, True, True]
-    assert a.inherited([], 3) == []
+    for i, t in enumerate(texts):
+        a.add(t, i)
+    a.settle(3)
+    for t in texts:
+        for at, state in enumerate(a.runs(t, 3)):
+            run = t[at : at + 3]
+            assert a.end[state] == min((k + 2, n) for n, u in enumerate(texts) for k in range(len(u) - 2) if u[k : k + 3] == run)
+    assert a.runs([], 3) == []
 
 
 def test_mail_tables(spark):

@@ -27,7 +27,7 @@ from lodestone.tables import cut, once
 RUN = 12
 #: Messages of one thread in one automaton; the messages of a longer thread are compared by shuffles of their runs.
 STRETCH = 500
-NOWHERE = (1 << 60, -1)
+NOWHERE = 1 << 62
 PAGE = re.compile(r"=== Page \d+ ===\s*$")
 HEADER = re.compile(r"(?:From|Sent|To|Cc|CC|Bcc|BCC|Subject|Date|Reply-To|Importance|Attachments|Von|Gesendet|An|Betreff|De|Envoyé|À|Objet):")
 RULE = re.compile(r"(?:-{2,} ?(?:Original Message|Forwarded [Mm]essage|Weitergeleitete Nachricht|Ursprüngliche Nachricht|Message d'origine|Message transféré)[ -]*-{2,}|Begin forwarded message:)\s*$", re.I)
@@ -67,35 +67,39 @@ class Automaton:
     def __init__(self) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.link, self.length = [-1], [0]
-        #: (place of the last word, text) by state, of the texts that end there; ``settle`` carries them to all states.
-        self.end: list[tuple[int, int]] = [NOWHERE]
-
-    def _state(self, length: int, edges: dict[str, int], link: int) -> int:
-        self.next.append(edges)
-        self.link.append(link)
-        self.length.append(length)
-        self.end.append(NOWHERE)
-        return len(self.next) - 1
+        #: Place of the last word and text, in one number, of the texts that end at a state; ``settle`` carries them to all states.
+        self.end = [NOWHERE]
 
     def add(self, words: list[str], text: int) -> None:
+        nexts, lengths, links, ends = self.next, self.length, self.link, self.end
         last = 0
-        for i, w in enumerate(words):
-            q = self.next[last].get(w)
+        for at, w in enumerate(words):
+            q = nexts[last].get(w)
             if q is not None:
-                last = q if self.length[q] == self.length[last] + 1 else self._split(last, w, q)
+                last = q if lengths[q] == lengths[last] + 1 else self._split(last, w, q)
             else:
-                new, p = self._state(self.length[last] + 1, {}, 0), last
-                while p >= 0 and w not in self.next[p]:
-                    self.next[p][w] = new
-                    p = self.link[p]
+                new, p = len(nexts), last
+                nexts.append({})
+                links.append(0)
+                lengths.append(lengths[last] + 1)
+                ends.append(NOWHERE)
+                while p >= 0 and w not in nexts[p]:
+                    nexts[p][w] = new
+                    p = links[p]
                 if p >= 0:
-                    q = self.next[p][w]
-                    self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
+                    q = nexts[p][w]
+                    links[new] = q if lengths[q] == lengths[p] + 1 else self._split(p, w, q)
                 last = new
-            self.end[last] = min(self.end[last], (i, text))
+            here = at << 32 | text
+            if here < ends[last]:
+                ends[last] = here
 
     def _split(self, p: int, w: str, q: int) -> int:
-        copy = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
+        copy = len(self.next)
+        self.next.append(dict(self.next[q]))
+        self.link.append(self.link[q])
+        self.length.append(self.length[p] + 1)
+        self.end.append(NOWHERE)
         self.link[q] = copy
         while p >= 0 and self.next[p].get(w) == q:
             self.next[p][w] = copy
@@ -104,10 +108,11 @@ class Automaton:
 
     def settle(self, least: int) -> None:
         """To be called when all texts are added: where runs of ``least`` words end first, for every state of such a run."""
+        link, end = self.link, self.end
         order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
         for v in reversed(order):
-            u = self.link[v]
-            self.end[u] = min(self.end[u], self.end[v])
+            if end[v] < end[link[v]]:
+                end[link[v]] = end[v]
         #: For a state of longer words, the state of their last ``least`` words.
         self.run = [0] * len(self.next)
         for v in order:
@@ -132,6 +137,7 @@ class Message:
         #: Why a line is quoted: inherited, extended (structure around an inherited line) or structure.
         self.how: list[str | None] = [None] * len(self.lines)
         self.header: dict[str, str] = {}
+        self._sender: str | None = None
         self._structure()
 
     def _structure(self) -> None:
@@ -180,7 +186,9 @@ class Message:
     @property
     def sender(self) -> str:
         """The sender's names, whatever form the header gives them in."""
-        return " ".join(sorted({w for n in self.names() for w in n.split(" ") if w})) or self.header.get("from", self.key)
+        if self._sender is None:
+            self._sender = " ".join(sorted({w for n in self.names() for w in n.split(" ") if w})) or self.header.get("from", self.key)
+        return self._sender
 
     def last_lines(self) -> set[str]:
         """The lines that a sender's ending may consist of: the last of the message and the last that no structure marks."""
@@ -284,14 +292,16 @@ class Message:
         ``sources`` has the inherited runs: the place of their first word among ``words``, and the sender of the message
         that they come from.
         """
-        old: dict[int, set[str]] = {}  # senders by inherited word
-        for at, whose in sources.items():
-            for k in range(at, at + RUN):
-                old.setdefault(k, set()).add(whose)
-        total, known = Counter(x for _, x in words), Counter(words[k][1] for k in old)
+        total = Counter(x for _, x in words)
+        known: Counter = Counter()
         senders: dict[int, set[str]] = {}
-        for k, whose in old.items():
-            senders.setdefault(words[k][1], set()).update(whose)
+        done = 0
+        for at, whose in sorted(sources.items()):
+            for k in range(max(done, at), at + RUN):
+                known[words[k][1]] += 1
+            done = at + RUN
+            for line in (words[at][1], words[done - 1][1]):
+                senders.setdefault(line, set()).add(whose)
         lines, kind = self.lines, self.kind
         taken = [i for i in sorted(total) if known[i] >= 0.8 * total[i]]
         for i in taken:
@@ -308,7 +318,7 @@ class Message:
                 blocks.append([i])
         for block in blocks:
             # the sender's own ending stands above the history and may come from their earlier messages
-            while block and (kind[block[0]] == "disclaimer" or self._own_ending(block[0], senders[block[0]], counts)):
+            while block and (kind[block[0]] == "disclaimer" or self._own_ending(block[0], senders.get(block[0], set()), counts)):
                 block.pop(0)
             if sum(total[i] for i in block if kind[i] is None and not self._contact(i)) < RUN:
                 continue  # an ending or a greeting that others quote too
@@ -361,23 +371,27 @@ def judge(thread: list[Message]) -> Iterator[Message]:
     counts: Counter = Counter()
     for sender, _, t in {(m.sender, m.identity, t) for m in thread for t in m.last_lines()}:
         counts[(sender, t)] += 1
+    if len(thread) < 2:
+        for m, w in zip(thread, words):
+            m.settle(w, {}, counts)
+            yield m
+        return
     auto = Automaton()
-    if len(thread) > 1:
-        for k, w in enumerate(words):
-            auto.add([x for x, _ in w], k)
-        auto.settle(RUN)
-    runs = [auto.runs([x for x, _ in w], RUN) if len(thread) > 1 else [] for w in words]
-    own: dict[tuple, int] = {}  # where copies of one message have a run first
-    for m, states in zip(thread, runs):
+    for k, w in enumerate(words):
+        auto.add([x for x, _ in w], k)
+    auto.settle(RUN)
+    own: dict[tuple, dict[int, int]] = {}  # where copies of one message have a run first
+    runs = []
+    for m, w in zip(thread, words):
+        states = auto.runs([x for x, _ in w], RUN)
+        runs.append(states)
+        first = own.setdefault(m.identity, {})
         for at, state in enumerate(states):
-            key = (m.identity, state)
-            own[key] = min(own.get(key, at), at)
+            if at < first.get(state, NOWHERE):
+                first[state] = at
     for m, w, states in zip(thread, words, runs):
-        sources = {}
-        for at, state in enumerate(states):
-            end, text = auto.end[state]
-            if end - RUN + 1 < own[(m.identity, state)]:
-                sources[at] = thread[text].sender
+        first = own[m.identity]
+        sources = {at: thread[auto.end[s] & 0xFFFFFFFF].sender for at, s in enumerate(states) if (auto.end[s] >> 32) - RUN + 1 < first[s]}
         m.settle(w, sources, counts)
         yield m
 

@@ -153,7 +153,7 @@ def test_suffix_automaton_finds_runs():
     for t in texts:
         for at, state in enumerate(a.runs(t, 3)):
             run = t[at : at + 3]
-            assert a.end[state] == min((k + 2, n) for n, u in enumerate(texts) for k in range(len(u) - 2) if u[k : k + 3] == run)
+            assert (a.end[state] >> 32, a.end[state] & 0xFFFFFFFF) == min((k + 2, n) for n, u in enumerate(texts) for k in range(len(u) - 2) if u[k : k + 3] == run)
     assert a.runs([], 3) == []
 
 

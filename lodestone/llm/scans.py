@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,14 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe import parts_of
 from lodestone.tables import cut, spread
 
-#: Words that the lexicon has at most, rarer words beyond them are neither corrected nor candidates; words that contexts consist of.
-MOST_WORDS, VECTORS = 200_000, 1024
+#: Words that the lexicon has at most, the most frequent ones; a rarer word counts as not seen before: it is corrected, but no
+#: other word into it.  Words that contexts consist of.
+MOST_WORDS, VECTORS = 500_000, 1024
 DIM, WINDOW = 32, 2
 #: A word is a misreading only of one that is so many times as frequent; of short words more.
 RATIO, SHORT_RATIO, FEWEST = 8, 60, 4
 #: Odds against a misreading where the word is one itself; occurrences from which on half of a vector's evidence counts.
-REAL_ODDS, DOUBT = 1000, 10
+REAL_ODDS, DOUBT = 1000, 100
 NEGATIVES = 5
 LOG_NEGATIVES = float(np.log(NEGATIVES))
 #: Words of a stretch that copies count once: at least, at most.
@@ -68,7 +71,9 @@ def pages(text: str) -> list[tuple[int, str]]:
     ends = [m.start() for m in found[1:]] + [len(text)]
     head = text[: found[0].start()]
     out = [(int(m.group(1)), text[m.end() : e]) for m, e in zip(found, ends)]
-    return [(0, head), *out] if head.strip() else out
+    if head.strip():  # pages count from 1: what stands above the first line is of the page it begins
+        out[0] = (out[0][0], head + out[0][1])
+    return out
 
 
 def core(token: str) -> str:
@@ -78,13 +83,15 @@ def core(token: str) -> str:
 def words_of(text: str) -> list[str]:
     """The words of a text in lower case, without addresses; what a line end cuts is left out."""
     out = []
-    for line in (ADDRESS.sub(" ", text) if addressed(text) else text).split("\n"):
-        line = line.rstrip()
+    any_address = addressed(text)
+    for line in text.split("\n"):
+        if any_address and addressed(line):
+            line = ADDRESS.sub(" ", line)
         tokens = line.split()
-        if tokens and line[-1] in HYPHENS and BROKEN.search(line):
+        if tokens and tokens[-1][-1] in HYPHENS and BROKEN.search(line.rstrip()):
             tokens.pop()
         out += tokens
-    return [w for t in out if (w := _cores[t])]
+    return [w for w in map(_cores.__getitem__, out) if w]
 
 
 class Cores(dict):
@@ -101,6 +108,19 @@ class Cores(dict):
 _cores = Cores()
 
 
+class Lows(dict):
+    """From a token to its core in lower case, numbers too."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = w = core(token).lower()
+        return w
+
+
+_lows = Lows()
+
+
 def addressed(text: str) -> bool:
     """Whether there may be an address in a text; the pattern itself is slow."""
     return "@" in text or "http" in text or "www." in text or "(at)" in text or "[at]" in text or " AT " in text
@@ -113,6 +133,7 @@ class Lexicon:
         self.counts, self.place, self.vectors, self.contexts = counts, {w: i for i, w in enumerate(names)}, vectors, contexts
         self.known: dict[str, tuple[str, ...]] = {}
         self.real: dict[str, tuple[str, ...]] = {}
+        self.rows: dict[str, array | None] = {}
 
     def count(self, w: str) -> int:
         return self.counts.get(w, 0)
@@ -149,13 +170,11 @@ class Lexicon:
                             seen.add(x)
                             after.add(x)
                         at = w.find(wrong, at + 1)
-            for x in after:
-                c = self.count(x)
-                if c >= FEWEST and c >= own * (RATIO if len(x) > 3 else SHORT_RATIO) and not SYMBOLS & set(x):
-                    found.add(x)
+            # how much more frequent it must be is for the words around to say
+            found = {x for x in after if (c := self.count(x)) >= FEWEST and c > own and not SYMBOLS & set(x)}
             if found:
                 break
-            now = after if len(after) < 4000 else set()
+            now = after
         if not found and "-" in word:
             parts = word.split("-")
             options = [(p,) if not (p_ := self.links(p)) else p_ for p in parts]
@@ -182,40 +201,67 @@ class Lexicon:
                         if x in self.place and self.count(x) >= FEWEST:
                             found.add(x)
                         at = word.find(wrong, at + 1)
-            self.real[word] = got = tuple(sorted(found - {word}, key=lambda x: (-self.count(x), x)))
+            # not what is itself a misreading of the word; and no words around can speak for what falls short even with the best of them
+            self.real[word] = got = tuple(sorted((x for x in found - {word} if word not in self.links(x) and self._reach(word, x) >= log(real_odds(x))), key=lambda x: (-self.count(x), x)))
         return got
 
+    def _reach(self, word: str, x: str) -> float:
+        """The most that ``odds`` can be for ``x`` instead of ``word``."""
+        gain = np.frombuffer(self.row(x), np.float32) - np.frombuffer(self.row(word), np.float32)
+        return log((self.count(x) + 1.0) / (self.count(word) + 1.0)) + 2 * WINDOW * max(0.0, float(gain.max(initial=0.0))) + 1e-3
+
     def near(self, around: list[str]) -> list[int]:
         """The places of those words of ``around`` that contexts consist of."""
         return [i for w in around if (i := self.place.get(w, VECTORS)) < len(self.contexts)]
 
+    def row(self, w: str) -> array | None:
+        """For each word that contexts consist of, how much likelier it is beside ``w`` than anywhere (log); none if nothing is known of ``w``."""
+        got = self.rows.get(w, self)
+        if got is self:
+            if len(self.rows) > 20_000:
+                self.rows = {}
+            i = self.place.get(w)
+            if i is None:
+                got = None
+            else:
+                n = self.count(w)
+                got = array("f", ((self.contexts @ self.vectors[i] + LOG_NEGATIVES) * (n / (n + DOUBT))).astype(np.float32).tobytes())
+            self.rows[w] = got
+        return got
+
     def fit(self, w: str, near: list[int]) -> float:
         """How much likelier the words around are beside ``w`` than anywhere (log); 0 if nothing is known of it."""
-        i = self.place.get(w)
-        if i is None or not near:
-            return 0.0
-        n = self.count(w)
-        return (float(self.contexts[near].sum(0) @ self.vectors[i]) + len(near) * LOG_NEGATIVES) * n / (n + DOUBT)
+        row = self.row(w) if near else None
+        return sum([row[i] for i in near]) if row is not None else 0.0
 
-    def choose(self, options: tuple[str, ...], around: list[str]) -> str:
+    def choose(self, options: tuple[str, ...], near: list[int]) -> str:
         """The option that fits the words around best; among options without vectors the most frequent."""
         if len(options) == 1:
             return options[0]
-        near = self.near(around)
-        return max(options, key=lambda w: (np.log(self.count(w) + 1.0) + self.fit(w, near), w))
+        return max(options, key=lambda w: (log(self.count(w) + 1.0) + self.fit(w, near), w))
+
+    def odds(self, word: str, best: str, near: list[int]) -> float:
+        """How much likelier ``best`` is here than ``word`` (log), by frequencies and context together."""
+        return log((self.count(best) + 1.0) / (self.count(word) + 1.0)) + self.fit(best, near) - self.fit(word, near)
 
     def meant(self, word: str, options: tuple[str, ...], around: list[str]) -> str | None:
-        """What of ``options`` (its links, or without any its twins) ``word`` was meant to be; none if the context speaks for ``word`` itself.
+        """What of ``options`` (its links, or without any its twins) ``word`` was meant to be; none if frequency and context speak for ``word`` itself.
 
-        Frequencies and context are weighed together.  A word with vectors must have two words around that are known.
+        A twin must have two words around that are known, and must fit them.
         """
         near = self.near(around)
-        best = self.choose(options, around)
-        odds = np.log((self.count(best) + 1.0) / (self.count(word) + 1.0)) + self.fit(best, near) - self.fit(word, near)
+        best = self.choose(options, near)
+        if "-" in best and not self.count(best):  # a compound is judged by its parts
+            return best
+        odds = self.odds(word, best, near)
         if options is not self.real.get(word):
-            return best if not near or odds >= 0 else None
-        against = REAL_ODDS * (1 if len(best) > 3 else SHORT_RATIO / RATIO)
-        return best if len(near) > 1 and odds >= np.log(against) and self.fit(best, near) > 0 else None
+            return best if odds >= log(RATIO if len(best) > 3 else SHORT_RATIO) else None
+        return best if len(near) > 1 and odds >= log(real_odds(best)) and self.fit(best, near) > 0 else None
+
+
+def real_odds(w: str) -> float:
+    """The odds that a word must have to be taken for what another word was meant to be."""
+    return REAL_ODDS * (1 if len(w) > 3 else SHORT_RATIO / RATIO)
 
 
 def train(pairs: np.ndarray, n: int, dim: int = DIM, negatives: int = NEGATIVES, rounds: int = 300, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -246,6 +292,7 @@ def folded(pairs: np.ndarray, contexts: np.ndarray, right: np.ndarray, rounds: i
     return w
 
 
+@lru_cache(maxsize=100_000)
 def collapsed(line: str) -> str:
     """A line without numbers and without the difference of glyphs that recognition confuses."""
     out = []
@@ -359,7 +406,7 @@ class Reader:
 
     def __init__(self, lexicon: Lexicon):
         self.lex = lexicon
-        self.plain: set[str] = set()  # tokens without a misread word
+        self.plans: dict[str, tuple[str, tuple[str, ...]] | None] = {}  # of each token
 
     def joins(self, left: str, right: str) -> str | None:
         """The word that a line end cuts into left and right, or none if they are a compound at its own hyphen."""
@@ -412,53 +459,62 @@ class Reader:
             skip = addressed(bare) and ADDRESS.search(bare)
             plain = ADDRESS.sub(lambda m: "\x00" * len(m.group()), bare) if skip else ""
             hidden = set(bare.split()) - set(plain.split()) if skip else ()
-            low: list[str] = []
+            shown = tokens
             for i, t in enumerate(tokens):
-                if t in self.plain or t in hidden:
+                plan = self.plans.get(t, self)
+                if plan is self:
+                    plan = self.plan(t)
+                if plan is None or t in hidden:
                     continue
-                low = low or [core(t).lower() for t in tokens]
-                fixed = self.fix(t, low, i)
-                if fixed is None:
-                    if self.depends(t, low[i]):
-                        continue
-                    if len(self.plain) > 500_000:
-                        self.plain.clear()
-                    self.plain.add(t)
-                else:
+                fixed = self.fix(t, tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + 1 + WINDOW])
+                if fixed is not None:
                     found.add((page, "misread"))
-                    tokens[i] = fixed
-            words += tokens
+                    shown = list(tokens) if shown is tokens else shown
+                    shown[i] = fixed
+            words += shown
         if carry:
             words.append(carry)
         if words:
             paragraphs.append(" ".join(words))
         return sorted(found), "\n\n".join(paragraphs)
 
-    def depends(self, token: str, low: str) -> bool:
-        """Whether the words around may make the token a misreading elsewhere."""
-        return any(w and (self.lex.links(w) or self.lex.twins(w)) for w in (low, token.lower().rstrip(TRIM), low.lstrip("(|").rstrip("!|")))
-
-    def fix(self, token: str, low: list[str], i: int) -> str | None:
-        """The token with its word corrected, or none if it isn't misread."""
-        for w in dict.fromkeys((low[i], token.lower().rstrip(TRIM), low[i].lstrip("(|").rstrip("!|"))):
+    def plan(self, token: str) -> tuple[str, tuple[str, ...]] | None:
+        """The word of a token that may be misread, and what it may have been; none if it is right wherever it stands."""
+        plan = self.plans.get(token, self)
+        if plan is self:
+            if len(self.plans) > 500_000:
+                self.plans.clear()
+            self.plans[token] = plan = self._plan(token)
+        return plan
+
+    def _plan(self, token: str) -> tuple[str, tuple[str, ...]] | None:
+        low = _lows[token]
+        bare = low.lstrip("(|").rstrip("!|")
+        for w in dict.fromkeys((low, token.lower().rstrip(TRIM), bare)):
             if not w:
                 continue
-            if w == low[i].lstrip("(|").rstrip("!|") and w != low[i] and self.lex.count(w):
+            if w == bare and w != low and self.lex.count(w):
                 return None
             options = self.lex.links(w) or self.lex.twins(w)
             if options:
-                if w != low[i].lstrip("(|").rstrip("!|") and self.lex.count(low[i].lstrip("(|").rstrip("!|")) >= FEWEST:
-                    return None
-                best = self.lex.meant(w, options, low[max(0, i - WINDOW) : i] + low[i + 1 : i + 1 + WINDOW])
-                if best is None:
-                    return None
-                at = token.lower().find(w)
-                shown = token[at : at + len(w)]
-                if shown[:1].isupper():
-                    best = best.upper() if shown.isupper() and len(shown) > 3 else best[:1].upper() + best[1:]
-                return token[:at] + best + token[at + len(w) :]
+                return None if w != bare and self.lex.count(bare) >= FEWEST else (w, options)
         return None
 
+    def fix(self, token: str, around: list[str]) -> str | None:
+        """The token with its word corrected, in the case it was shown in, or none if it isn't misread among the tokens ``around``."""
+        plan = self.plan(token)
+        if plan is None:
+            return None
+        w, options = plan
+        best = self.lex.meant(w, options, [_lows[x] for x in around])
+        if best is None:
+            return None
+        at = token.lower().find(w)
+        shown = token[at : at + len(w)]
+        if shown[:1].isupper():
+            best = best.upper() if shown.isupper() and len(shown) > 3 else best[:1].upper() + best[1:]
+        return token[:at] + best + token[at + len(w) :]
+
 
 class Ends(dict):
     """Whether a stretch ends after a word: after one of four words, the same in all texts."""
@@ -478,11 +534,14 @@ def stretches_of(words: list[str]) -> Iterator[tuple[str, str]]:
 
     Where a stretch ends depends on the words near by only, so that texts cut alike where they are copies, whatever their lines.
     """
-    start = 0
-    for i, w in enumerate(words, 1):
-        if i - start >= STRETCH and _ends[w] or i - start >= LONGEST_STRETCH or i == len(words):
-            yield " ".join(words[max(0, start - WINDOW) : start]), " ".join(words[start:i])
-            start = i
+    start, n = 0, len(words)
+    while start < n:
+        i, most = start + STRETCH, min(start + LONGEST_STRETCH, n)
+        while i < most and not _ends[words[i - 1]]:
+            i += 1
+        i = min(i, most)
+        yield " ".join(words[max(0, start - WINDOW) : start]), " ".join(words[start:i])
+        start = i
 
 
 def stretches(texts: DataFrame) -> DataFrame:
@@ -568,10 +627,21 @@ def learn(texts: DataFrame) -> tuple[dict[str, int], list[str], np.ndarray, np.n
 
         rare = pairs.where(F.col("a") >= size).groupBy("a").agg(F.collect_list(F.struct("b", "n")).alias("met")).mapInArrow(run, "a int, v array<float>").toArrow()
         if rare.num_rows:
-            more[rare.column("a").to_numpy()] = np.array(rare.column("v").to_pylist(), np.float32)
+            more[rare.column("a").to_numpy()] = rare.column("v").combine_chunks().flatten().to_numpy().reshape(-1, DIM)
     return counts, names, more, contexts
 
 
+_last: tuple[object, Reader] | None = None
+
+
+def reader_of(model: tuple) -> Reader:
+    """The reader of a model; kept between the tasks of a worker, with what it knows of words."""
+    global _last
+    if _last is None or _last[0] is not model:
+        _last = model, Reader(Lexicon(*model))
+    return _last[1]
+
+
 def repair(texts: DataFrame) -> DataFrame:
     """record_id, found (page_no, kind) and text (repaired) of ``texts`` (record_id, text).
 
@@ -583,7 +653,7 @@ def repair(texts: DataFrame) -> DataFrame:
     pair = pa.struct([("page_no", pa.int64()), ("kind", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(Lexicon(*shared.value))
+        reader = reader_of(shared.value)
         for b in batches:
             for first, part in parts_of(b.column(1)):
                 done = [reader.read(t) for t in part]

@@ -240,8 +240,24 @@ def test_findings(reader):
 
 @pytest.mark.parametrize(("token", "fixed"), [("clinica1", "clinical"), ("Operafiorial,", "Operational,"), ("coiincil", "council"), ("riurnber", "number"), ("xylophone", None), ("(ouncil", "council"), ("(council", None), ("rare", None), ("7th", None)])
 def test_misreadings(reader, token, fixed):
-    low = [scans.core(token).lower()]
-    assert reader.fix(token, low, 0) == fixed
+    assert reader.fix(token, []) == fixed
+
+
+def test_context_chooses_accepts_and_rejects(spark):
+    """Trained on a small corpus: one wrong word with two right ones, and a word that is a misreading of another only in its place."""
+    lines = ["the sour lemon is on the tree"] * 60 + ["we rode by car to the far town"] * 60 + ["black tar covers hot roads"] * 60
+    lines += ["they eat warm bread at noon"] * 60 + ["the small cat sleeps on warm mats"] * 60
+    text = "\n\n".join(f"{x} {n}x{n}" for n, x in enumerate(lines))
+    model = scans.learn(spark.createDataFrame([(text,)], "text string"))
+    lex = scans.Lexicon(*model)
+    # cat is a misreading of eat beside "they" and "warm bread", not beside "small" and "sleeps"
+    odds = [lex.odds("cat", "eat", lex.near(a.split())) for a in ("they warm bread", "the small sleeps on")]
+    assert odds[0] > 0 > odds[1]
+    assert lex.choose(("tar", "far"), lex.near("black covers hot".split())) == "tar" and lex.choose(("tar", "far"), lex.near("to the town".split())) == "far"
+
+
+def test_text_above_the_first_page_line_is_of_that_page():
+    assert [n for n, _ in scans.pages("head\n=== Page 1 ===\nx\n=== Page 2 ===\ny")] == [1, 2]
 
 
 def test_form_feeds_roman_numbers_and_sides(reader):

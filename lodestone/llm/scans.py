@@ -48,6 +48,7 @@ GLYPHS = (
     ("€", "e"), ("@", "a"), ("!", "i"), ("1", "l"), ("1", "i"), ("|", "l"), ("|", "i"), ("0", "o"), ("5", "s"), ("(", "c"), ("9", "g"), ("$", "s"),
     ("8", "b"), ("6", "b"), ("c", "e"), ("ri", "n"), ("f", "t"), ("cl", "d"), ("ii", "u"), ("rn", "m"), ("m", "rn"), ("b", "h"), ("vv", "w"), ("h", "li"),
 )
+LETTERS = tuple(g for g in GLYPHS if g[0].isalpha())
 SYMBOLS = frozenset("€@!|0159($86")
 HYPHENS = "-­¬‐‑"
 MARKER = re.compile(r"(?m)^=== Page (\d+) ===[ \t]*\r?$")
@@ -149,12 +150,13 @@ class Lexicon:
 
     def _links(self, word: str) -> tuple[str, ...]:
         n = len(word)
-        letters = sum(c.isalpha() for c in word)
+        plain = word.isalpha()
+        letters = n if plain else sum(c.isalpha() for c in word)
         if n < 3 or n > 40 or letters < 2 or letters < n - 3 - word.count("-"):
             return ()
         if n == letters + word.count("-") and self.count(word) * RATIO > max(self.most(), 1):
             return ()
-        odd = sum(c in SYMBOLS for c in word)
+        odd = 0 if plain else sum(c in SYMBOLS for c in word)
         if odd > 3:
             return ()
         own = self.count(word)
@@ -162,7 +164,7 @@ class Lexicon:
         for step in range(max(2, odd)):
             after = set()
             for w in now:
-                for wrong, right in GLYPHS:
+                for wrong, right in LETTERS if plain else GLYPHS:
                     at = w.find(wrong)
                     while at >= 0:
                         x = w[:at] + right + w[at + len(wrong) :]
@@ -264,20 +266,21 @@ def real_odds(w: str) -> float:
     return REAL_ODDS * (1 if len(w) > 3 else SHORT_RATIO / RATIO)
 
 
-def train(pairs: np.ndarray, n: int, dim: int = DIM, negatives: int = NEGATIVES, rounds: int = 300, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def train(pairs: np.ndarray, n: int, dim: int = DIM, negatives: int = NEGATIVES, rounds: int = 200, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Skip-gram vectors with negative sampling, by gradient ascent on the expected loss over a table of pair counts."""
     rng = np.random.default_rng(seed)
-    w, c = rng.normal(0, 0.1, (n, dim)), rng.normal(0, 0.1, (n, dim))
+    w, c = (rng.normal(0, 0.1, (n, dim)).astype(np.float32) for _ in range(2))
     total = max(1.0, pairs.sum())
     left, right = pairs.sum(1), pairs.sum(0)
-    noise = negatives * np.outer(left, right) / total
-    scale = 1.0 / np.maximum(left, 1.0)[:, None], 1.0 / np.maximum(right, 1.0)[:, None]
+    noise = (negatives * np.outer(left, right) / total).astype(np.float32)
+    scale = [(1.0 / np.maximum(x, 1.0))[:, None].astype(np.float32) for x in (left, right)]
+    pairs = pairs.astype(np.float32)
     for step in range(rounds):
         s = 1 / (1 + np.exp(-np.clip(w @ c.T, -30, 30)))
         g = pairs * (1 - s) - noise * s
-        rate = 0.2 * (1 - step / rounds) + 0.01
+        rate = np.float32(0.2 * (1 - step / rounds) + 0.01)
         w, c = w + rate * scale[0] * (g @ c), c + rate * scale[1] * (g.T @ w)
-    return w.astype(np.float32), c.astype(np.float32)
+    return w, c
 
 
 def folded(pairs: np.ndarray, contexts: np.ndarray, right: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -577,6 +580,19 @@ def pair_counts(stretch: DataFrame, names: list[str], most: int = VECTORS) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, apart = shared.value, [-1] * WINDOW  # between two stretches
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            nonlocal keys, counts, held
+            at, n = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], counts[:0])
+            held = []
+            every, where = np.unique(np.concatenate((keys, at)), return_inverse=True)
+            keys, counts = every, np.bincount(where, np.concatenate((counts, n)), len(every)).astype(np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array((keys // most).astype(np.int32)), pa.array((keys % most).astype(np.int32)), pa.array(counts)], ["a", "b", "n"])
+
         for b in batches:
             for first, part in parts_of(b.column(1)):
                 ids, new = [], []
@@ -586,13 +602,17 @@ def pair_counts(stretch: DataFrame, names: list[str], most: int = VECTORS) -> Da
                     ids += [*before, *own, *apart]
                     new += [False] * len(before) + [True] * (len(own) + WINDOW)  # pairs within the head are of another stretch
                 ids, new = np.array(ids, np.int64), np.array(new, bool)
-                met = []
                 for d in range(1, WINDOW + 1):
                     for x, y in ((ids[:-d], ids[d:]), (ids[d:], ids[:-d])):
                         ok = new[d:] & (x >= 0) & (y >= 0) & (y < most)
-                        met.append(x[ok] * most + y[ok])
-                at, n = np.unique(np.concatenate(met), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((at // most).astype(np.int32)), pa.array((at % most).astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+                        held.append(x[ok] * most + y[ok])
+                if sum(map(len, held)) > 2_000_000:
+                    add()
+                    if len(keys) > 2_000_000:
+                        yield out()
+                        keys, counts = keys[:0], counts[:0]
+        add()
+        yield out()
 
     return stretch.select("head", "body").mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 

@@ -264,6 +264,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def groups(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """One row for each record: its class, its group (the smallest class that similar pairs lead to), and how many other records it is similar to."""
+    links = cut(links.select("a", "b"))  # read by the links and in the first round of the components
     sizes = members.groupBy("class").agg(F.count("*").alias("n"))
     ends = links.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("class"), F.col("a").alias("other")))
     more = ends.join(sizes.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("n").alias("more"))

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import defaultdict
@@ -121,15 +122,43 @@ def test_few_vectors(spark, n):
     assert neighbours.nearest(spark.createDataFrame(rows, "chunk_id string, embedding array<float>")).count() == n * max(0, n - 1)
 
 
-def test_recall_with_many_parts(spark):
+@pytest.mark.parametrize("most", [512, 4])
+def test_recall_with_many_parts(spark, monkeypatch, most):
+    """Of a search that leaves out most parts, with one level of parts and with two."""
+    monkeypatch.setattr(neighbours, "MOST_PARTS", most)
     x = vectors(np.random.default_rng(3), 4000)
     ids = [f"{i:05d}" for i in range(len(x))]
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x)], "chunk_id string, embedding array<float>")
     got = defaultdict(set)
-    for r in neighbours.nearest(df, part_size=200, probes=8).collect():
+    for r in neighbours.nearest(df, part_size=100).collect():
         got[r.chunk_id].add(r.neighbour)
     want = exact(ids[:], x)
-    assert np.mean([len(got[i] & set(want[i])) / 5 for i in ids[::20]]) >= 0.9
+    assert np.mean([len(got[i] & set(want[i])) / 5 for i in ids[::20]]) >= 0.95
+    index = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in zip(ids, x)], "key string, vec binary")
+    router = neighbours.learn(index, len(ids), 64, 100)
+    _, rows, parts = router.route(neighbours.unit(x.astype(float)).astype(np.float32), neighbours.MASS)
+    assert len(np.unique(parts)) >= 30 and len(rows) / len(x) < 0.5 * len(router.shard)
+
+
+def test_recall_at_the_defaults(spark, folder):
+    """More parts than are searched, over the largest table that is there."""
+    big = "/root/testdata/check_l/chunks.parquet"
+    if not os.path.exists(big):
+        pytest.skip("no test tables here")
+    df = spark.read.parquet(big)
+    got = defaultdict(set)
+    for r in neighbours.nearest(df).collect():
+        got[r.chunk_id].add(r.neighbour)
+    all_ = neighbours.usable(df, "chunk_id", "embedding", 64).collect()
+    x = neighbours.unit(np.frombuffer(b"".join(bytes(r.vec) for r in all_), np.float32).reshape(-1, 64).astype(np.float64))
+    ids = np.array([r.key for r in all_])
+    hits = []
+    for i in range(0, len(x), 997):
+        s = np.round(x @ x[i], 12)
+        s[i] = -2
+        fifth = np.sort(s)[-5]
+        hits.append(sum(s[j] >= fifth for j in np.flatnonzero(np.isin(ids, list(got[ids[i]])))) / 5)
+    assert np.mean(hits) >= 0.97
 
 
 def test_hot_parts_are_split(spark, monkeypatch):
@@ -139,7 +168,7 @@ def test_hot_parts_are_split(spark, monkeypatch):
     ids = [f"{i:05d}" for i in range(len(x))]
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x)], "chunk_id string, embedding array<float>")
     got = defaultdict(dict)
-    for r in neighbours.nearest(df, part_size=100, probes=3).collect():
+    for r in neighbours.nearest(df, part_size=100, mass=1.1).collect():
         got[r.chunk_id][r.place] = r.neighbour
     want = exact(ids, x)
     assert all([got[i][p] for p in sorted(got[i])] == want[i] for i in ids)

@@ -7,8 +7,10 @@ that at least ``least - WINDOW + 1`` characters of the span follow.  Suffixes ar
 64-bit hash), one prefix going to one task; prefixes of a single record are dropped.  For the others the text around the
 anchors is read again, and each prefix becomes a subtree: its suffixes in order with the lengths that neighbours share.
 An internal node of depth d together with ``least - d`` common characters on the left is a shared span.  A prefix with
-more than ``SUBTREE`` suffixes is split further, by longer prefixes: each window of ``least`` characters around an anchor
-is then a prefix of its own, which needs no subtree.
+more than ``SUBTREE`` suffixes is split further, by longer prefixes: each window of ``least`` characters whose first anchor
+has the prefix is then a prefix of its own, which needs no subtree; windows are told apart by 128 bits of a cryptographic
+hash.  Members of a prefix are counted by aggregates with a partial step and joined back, so that no prefix goes to one task
+unless it is small.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.tables import spread
+from lodestone.tables import cut, spread
 
 WINDOW = 100
 GRAM = 16
@@ -98,10 +100,13 @@ def shared_prefixes(docs: DataFrame, least: int) -> DataFrame:
                 yield flush(keys, texts)
 
     kind = docs.schema["doc"].dataType.simpleString()
-    own = Window.partitionBy("prefix")
-    found = spread(docs).mapInArrow(run, f"doc {kind}, at int, prefix bigint")
-    found = found.withColumns({"lowest": F.min("doc").over(own), "highest": F.max("doc").over(own), "members": F.count("*").over(own)})
-    return found.where("lowest < highest").select("doc", "at", "prefix", "members")
+    found = cut(spread(docs).mapInArrow(run, f"doc {kind}, at int, prefix bigint"))
+    return found.join(of_several(found, "prefix"), "prefix").select("doc", "at", "prefix", "members")
+
+
+def of_several(found: DataFrame, key: str) -> DataFrame:
+    """The keys of rows of more than one record, and how many rows they have."""
+    return found.groupBy(key).agg(F.min("doc").alias("lowest"), F.max("doc").alias("highest"), F.count("*").alias("members")).where("lowest < highest").select(key, "members")
 
 
 def befores(rows: list[tuple], own: list[int]) -> list[int]:
@@ -162,8 +167,8 @@ def shared(a: str, b: str) -> int:
     return low
 
 
-def digest(s: str) -> int:
-    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+def digest(s: str) -> bytes:
+    return hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 300) -> DataFrame:
@@ -178,9 +183,14 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least
         raise ValueError(f"least is at least {WINDOW + 2 * GRAM}")
     src = docs.select(docs[key].alias("doc"), docs[text].alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= least))
     kind = src.schema["doc"].dataType.simpleString()
-    places = shared_prefixes(src, least).groupBy("doc").agg(F.collect_list(F.struct("at", "prefix", "members")).alias("places"))
+    marked = cut(shared_prefixes(src, least))
+    hot = F.col("members") > SUBTREE
+
+    def texts_with(places: DataFrame) -> DataFrame:
+        return src.join(places.groupBy("doc").agg(F.collect_list(F.struct("at", "prefix")).alias("places")), "doc").select("doc", "text", "places")
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The text around each anchor."""
         for b in batches:
             docs_, ats, spans, befores, afters = [], [], [], [], []
 
@@ -189,20 +199,35 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
             for k, t, ps in zip(b.column(0), b.column(1), b.column(2)):
                 k, t = k.as_py(), t.as_py()
-                for place in {(p["at"], p["prefix"], p["members"] > SUBTREE) for p in ps.as_py()}:
-                    at, prefix, hot = place
-                    if hot:
-                        for first in range(max(0, at - WINDOW + 1), min(at, len(t) - least) + 1):
-                            docs_.append(k), ats.append(first), spans.append(digest(t[first : first + least])), befores.append(None), afters.append(None)
-                    else:
-                        docs_.append(k), ats.append(at), spans.append(prefix), befores.append(t[max(0, at - WINDOW + 1) : at]), afters.append(t[at : at + least])
+                for at, prefix in {(p["at"], p["prefix"]) for p in ps.as_py()}:
+                    docs_.append(k), ats.append(at), spans.append(prefix), befores.append(t[max(0, at - WINDOW + 1) : at]), afters.append(t[at : at + least])
                 if len(docs_) > 5000:
                     yield out()
                     docs_, ats, spans, befores, afters = [], [], [], [], []
             if docs_:
                 yield out()
 
-    near = src.join(places, "doc").select("doc", "text", "places").mapInArrow(around, f"doc {kind}, at int, prefix bigint, before string, after string")
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of ``least`` characters of which an anchor is the first."""
+        for b in batches:
+            docs_, spans, firsts = [], [], []
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(spans, pa.binary()), pa.array(docs_, b.column(0).type), pa.array(firsts, pa.int32()), pa.array([f + least for f in firsts], pa.int32())], ["span", "doc", "from_char", "to_char"])
+
+            for k, t, ps in zip(b.column(0), b.column(1), b.column(2)):
+                k, t, done = k.as_py(), t.as_py(), -1
+                for at in sorted({p["at"] for p in ps.as_py()}):
+                    for first in range(max(0, at - WINDOW + 1, done + 1), min(at, len(t) - least) + 1):
+                        docs_.append(k), spans.append(digest(t[first : first + least])), firsts.append(first)
+                    done = at
+                    if len(docs_) > 20_000:
+                        yield out()
+                        docs_, spans, firsts = [], [], []
+            if docs_:
+                yield out()
+
+    near = texts_with(marked.where(~hot)).mapInArrow(around, f"doc {kind}, at int, prefix bigint, before string, after string")
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -219,7 +244,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
         def batch() -> pa.RecordBatch:
             cols = list(zip(*out)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], kind_), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["span", "doc", "from_char", "to_char"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], kind_), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["span", "doc", "from_char", "to_char"])
 
         for b in batches:
             kind_ = b.column(0).type
@@ -237,11 +262,12 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least
         if kind_ is not None:
             yield batch()
 
-    small = near.where("after is not null").repartition("prefix").sortWithinPartitions("prefix").mapInArrow(trees, f"span bigint, doc {kind}, from_char int, to_char int")
-    own = Window.partitionBy("span")
-    large = near.where("after is null").select(F.col("prefix").alias("span"), "doc", F.col("at").alias("from_char"), (F.col("at") + least).alias("to_char"))
-    large = large.withColumns({"lowest": F.min("doc").over(own), "highest": F.max("doc").over(own)}).where("lowest < highest").drop("lowest", "highest")
-    return small.unionByName(large)
+    schema = f"span binary, doc {kind}, from_char int, to_char int"
+    small = near.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(trees, schema)
+    if marked.where(hot).isEmpty():
+        return small
+    large = cut(texts_with(marked.where(hot)).mapInArrow(windows, schema))
+    return small.unionByName(large.join(of_several(large, "span").select("span"), "span").select("span", "doc", "from_char", "to_char"))
 
 
 def sharing_pairs(spans: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -100,7 +100,7 @@ def shared_prefixes(docs: DataFrame, least: int) -> DataFrame:
                 yield flush(keys, texts)
 
     kind = docs.schema["doc"].dataType.simpleString()
-    found = cut(spread(docs).mapInArrow(run, f"doc {kind}, at int, prefix bigint"))
+    found = spread(docs).mapInArrow(run, f"doc {kind}, at int, prefix bigint")  # made twice: that is less than to keep it
     return found.join(of_several(found, "prefix"), "prefix").select("doc", "at", "prefix", "members")
 
 

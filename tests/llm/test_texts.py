@@ -183,6 +183,9 @@ def finder():
     [
         ("write to mia.berg+x@post.example.net.", [("email", "mia.berg+x@post.example.net")]),
         ("<tom@ x.example>, ada(at)x.example, ada AT x.example", [("email", "tom@ x.example"), ("email", "ada(at)x.example"), ("email", "ada AT x.example")]),
+        ("IBAN: DE89 3704 0044 0532 0130 00 and IBAN DE88 AAAA BBBB CCCC D", [("id_number", "DE89 3704 0044 0532 0130 00")]),
+        ("write jane.doe at example dot com or jane(at)example [dot] org; look at that dot", [("email", "jane.doe at example dot com"), ("email", "jane(at)example [dot] org")]),
+        (f"{'x' * 90}@y.example", [("email", f"{'x' * 90}@y.example")]),
         ("12 cartons @ USD 59 were forec@st.", []),
         ("Tel. +49 30 23125 647, (483) 555-0170 or 020 7946 0443", [("phone", "+49 30 23125 647"), ("phone", "(483) 555-0170"), ("phone", "020 7946 0443")]),
         ("lot 205.470.1356/B, Order 2011-28-2690, 4/2/2019 18:05", []),

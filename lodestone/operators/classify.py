@@ -39,7 +39,7 @@ DOCUMENT_TYPES = (
     ("manual", r"\b(?:manual|guide)\b"), ("contract", r"\b(?:contract|agreement)\b"),
 )
 EMAIL_PATTERNS = ("From:.*@", "To:.*@", r"Sent:.*\d[:/]\d[:/]\d", "Subject:", "CC:", "BCC:", "Reply-To:")
-ROOMS = ("bedroom", "bathroom", "kitchen", "living room", "dining room", "hallway", "office", "garage", "closet", "balcony", "basement", "laundry")
+ROOMS = ("room", "bedroom", "bathroom", "kitchen", "living", "dining", "office", "garage", "hall", "closet", "patio", "deck")
 IMAGE_NAMES = {
     "chart": ("chart", "graph", "plot"), "diagram": ("diagram", "flow", "schema"),
     "floor_plan": ("plan", "blueprint", "layout"), "presentation_slide": ("slide", "presentation"),
@@ -149,15 +149,28 @@ def slide_title(slide: Column) -> tuple[Column, Column]:
     return title, body
 
 
+#: White space of all scripts, as a class of characters.
+WHITE = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The forms of each header, and what separates the parts of a thread.
+HEADERS = {"from": "From|From:", "to": "To|To:", "cc": "CC|Cc|CC:|Cc:", "subject": "Subject|Subject:", "date": "Date|Sent|Date:|Sent:"}
+THREAD_MARKS = ("----+ ?Original Message ?----+", "----+ ?Forwarded Message ?----+", "On [^\n\ue000]* wrote:", "From:[^\n\ue000]*Sent:[^\n\ue000]*To:[^\n\ue000]*Subject:")
+
+
 def email_fields(text: Column) -> dict[str, Column]:
-    """TXT-16: the first hit of each header, and the text after the first blank line behind the last of them."""
+    """TXT-16: the first hit of each header; the text behind the first blank line after the last of them, or all after it
+    where none follows; and the parts of the thread that it has, null for one."""
     t = F.coalesce(text, F.lit(""))
-    out = {}
-    for name in ("From", "To", "CC", "Subject", "Date"):
-        out[name.lower()] = F.regexp_extract(t, rf"{name}:[ \t]*([^\n]*)\n", 1)
-    last = F.greatest(*(F.coalesce(F.nullif(F.regexp_instr(t, F.lit(f"{n}:[^\\n]*\\n")), F.lit(0)), F.lit(1)) for n in ("From", "To", "Subject", "Date")))
-    rest = F.substr(t, last)
-    out["body"] = F.when(F.instr(rest, "\n\n") > 0, F.substr(rest, F.instr(rest, "\n\n") + 2)).otherwise("")
+    hit = {name: rf"(?:{forms})\s+([^\n]*?)\r?\n" for name, forms in HEADERS.items()}
+    out = {name: strip(F.regexp_extract(t, p, 1)) for name, p in hit.items()}
+    end = F.greatest(*(F.when(F.regexp_instr(t, F.lit(hit[n])) > 0, F.regexp_instr(t, F.lit(hit[n])) - 1 + F.length(F.regexp_extract(t, hit[n], 0))).otherwise(0) for n in ("from", "to", "subject", "date")))
+    rest = F.substr(t, end + 1)
+    blank = F.regexp_instr(rest, F.lit(r"\n\s*\n"))
+    body = strip(F.when(end == 0, "").when(blank > 0, F.substr(rest, blank + F.length(F.regexp_extract(rest, r"\n\s*\n", 0)))).otherwise(rest))
+    out["body"] = body
+    for mark in THREAD_MARKS:
+        body = F.regexp_replace(body, mark, "\ue000")
+    parts = F.split(body, "\ue000")
+    out["thread_parts"] = F.when(F.size(parts) > 1, parts)
     return out
 
 
@@ -183,29 +196,32 @@ def image_type_by_text(text: Column) -> Column:
 
 
 def chart_facts(text: Column) -> dict[str, Column]:
-    """TXT-20: kind of chart, its first 20 numbers and its title."""
+    """TXT-20: kind of chart, lines that label an axis, its first 20 numbers and its title."""
     t = F.coalesce(text, F.lit(""))
     low = F.lower(t)
-    kind = F.when(low.contains("bar"), "bar").when(low.contains("pie"), "pie").when(low.contains("line"), "line").otherwise("unknown")
-    lines = F.filter(F.transform(F.split(t, "\n"), strip), lambda x: F.length(x) > 10)
-    return {"chart_kind": kind, "numbers": F.slice(F.regexp_extract_all(t, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)), 1, 20), "title": F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))}
+    kind = F.when(contains_any(low, ("bar", "column")), "bar_chart").when(contains_any(low, ("pie", "donut")), "pie_chart").when(contains_any(low, ("line", "trend")), "line_chart").otherwise("unknown")
+    lines = F.transform(F.split(t, "\n"), strip)
+    axes = F.filter(lines, lambda x: contains_any(F.lower(x), ("axis", "x:", "y:")))
+    titles = F.filter(lines, lambda x: F.length(x) > 10)
+    return {"chart_kind": kind, "axes": axes, "numbers": F.slice(F.regexp_extract_all(t, F.lit(r"[0-9]+\.?[0-9]*"), F.lit(0)), 1, 20), "title": F.coalesce(F.try_element_at(titles, F.lit(1)), F.lit(""))}
 
 
 def diagram_facts(text: Column) -> dict[str, Column]:
     """TXT-21: kind of diagram, its first 20 components, and whether it has arrows."""
     t = F.coalesce(text, F.lit(""))
     low = F.lower(t)
-    kind = F.when(contains_any(low, ("flow", "process")), "flowchart").when(contains_any(low, ("architecture", "system")), "architecture").when(low.contains("network"), "network").otherwise("general")
+    kind = F.when(contains_any(low, ("flow", "process", "step")), "flowchart").when(contains_any(low, ("architecture", "system", "component")), "architecture_diagram")
+    kind = kind.when(contains_any(low, ("network", "node", "connection")), "network_diagram").otherwise("general_diagram")
     parts = F.slice(F.filter(F.transform(F.split(t, "\n"), strip), lambda x: F.length(x) > 2), 1, 20)
-    return {"diagram_kind": kind, "components": parts, "arrows": contains_any(t, ("->", "→", "=>"))}
+    return {"diagram_kind": kind, "components": parts, "arrows": contains_any(t, ("->", "→"))}
 
 
 def floor_plan_facts(text: Column) -> dict[str, Column]:
     """TXT-22: lines with rooms, up to ten measurements, and areas."""
     t = F.coalesce(text, F.lit(""))
     rooms = F.filter(F.transform(F.split(t, "\n"), strip), lambda x: contains_any(F.lower(x), ROOMS))
-    sizes = F.slice(F.regexp_extract_all(t, F.lit(r"[0-9]+(?:\.[0-9]+)?[ ]?(?:ft|m|cm|mm|in)\b"), F.lit(0)), 1, 10)
-    return {"rooms": rooms, "measurements": sizes, "areas": F.regexp_extract_all(F.lower(t), F.lit(r"[0-9,]+[ ]?sq\.? ?ft"), F.lit(0))}
+    sizes = F.slice(F.regexp_extract_all(t, F.lit(r"""[0-9]+\.?[0-9]*['"\s]*x\s*[0-9]+\.?[0-9]*['"\s]*"""), F.lit(0)), 1, 10)
+    return {"rooms": rooms, "measurements": sizes, "areas": F.regexp_extract_all(F.lower(t), F.lit(r"[0-9]+\.?[0-9]*\s*(?:sq\.?\s*ft\.?|square feet)"), F.lit(0))}
 
 
 def structure_counts(text: Column) -> dict[str, Column]:
@@ -220,11 +236,11 @@ def structure_counts(text: Column) -> dict[str, Column]:
 
 
 def valid_text(text: Column) -> Column:
-    """TXT-30: ten characters or more, no archive bytes, no long run outside printable ASCII, and mostly printable."""
-    t = strip(F.coalesce(text, F.lit("")))
-    junk = t.startswith("PK\x03\x04") | t.rlike(r"\\u[0-9a-fA-F]{4}") | t.rlike(r"[^\x20-\x7E\t\n\r\f\x0B]{20,}")
-    printable = F.length(F.regexp_replace(t, r"[\x00-\x1F\x7F-\x9F\x{FFFD}]", ""))
-    return (F.length(t) >= 10) & ~junk & (printable >= 0.7 * F.length(t))
+    """TXT-30: ten characters or more, no archive bytes or escapes, no run of 20 that are neither printable ASCII nor white space, and mostly printable."""
+    t = F.coalesce(text, F.lit(""))
+    junk = t.contains("PK\x03\x04") | t.rlike(r"\\u[0-9a-fA-F]{4}") | t.rlike(rf"[^\x20-\x7E{WHITE}]{{20}}")
+    odd = F.length(t) - F.length(F.regexp_replace(t, rf"[\p{{C}}&&[^{WHITE}]]", ""))
+    return (F.length(strip(t)) >= 10) & ~junk & (F.length(t) - odd >= 0.7 * F.length(t))
 
 
 def info_sheet(text: Column, *names: str) -> dict[str, Column]:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-IMAGES = ("png", "jpg", "jpeg", "tiff", "tif", "bmp", "gif")
+#: Formats of images.
+IMAGES = ("png", "jpg", "jpeg", "tiff", "bmp")
 
 
 def _first(when: Column) -> Column:
@@ -35,7 +36,7 @@ def pair_files(files: DataFrame) -> DataFrame:
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     ext = F.regexp_extract(name, r"\.([a-z0-9]+)$", 1)
     info, pdf, always = name.contains("info"), ext == "pdf", F.lit(True)
-    starts = name.startswith(F.lower(F.col("base")))
+    starts = F.element_at(F.split("path", "/"), -1).startswith(F.col("base"))
     g = files.groupBy("zip", "category").agg(
         F.count("*").alias("n"), F.count_if(pdf).alias("pdfs"),
         _last(pdf & info).alias("p_info"), _last(pdf & ~info & starts).alias("p_content"), _by_size(pdf, False).alias("p_small"), _by_size(pdf, True).alias("p_large"),

@@ -35,20 +35,32 @@ def difficulty(complexity: Column) -> Column:
     return F.when(complexity > 0.7, "very_complex").when(complexity > 0.5, "complex").when(complexity > 0.3, "moderate").otherwise("simple")
 
 
-def strategy(level: Column, pages: Column, available: list[str]) -> dict[str, Column]:
-    """RT-03, RT-04: first processor, fallbacks, time limit and cost estimate for a difficulty."""
-    wish = {
-        "very_complex": ["cloud_vision", "cloud_text", "local_vision", "ocr"], "complex": ["cloud_text", "local_vision", "cloud_vision", "ocr"],
-        "moderate": ["local_vision", "ocr", "cloud_text"], "simple": ["traditional", "ocr", "local_vision"],
-    }
-    have = F.array(*(F.lit(a) for a in available))
-    order, limit = None, None
-    for name, seconds in zip(wish, (300, 180, 120, 60)):
-        a = F.array_intersect(F.array(*(F.lit(w) for w in wish[name])), have)
-        order = F.when(level == name, a) if order is None else order.when(level == name, a)
-        limit = F.when(level == name, seconds) if limit is None else limit.when(level == name, seconds)
-    first = F.try_element_at(order, F.lit(1))
-    return {"processor": first, "fallbacks": F.slice(order, 2, 10), "timeout": limit, "cost": F.when(first.startswith("cloud"), F.round(0.01 * pages, 6)).otherwise(0.0)}
+#: Processors in the order of fallback behind each first choice.
+FALLBACKS = {
+    "cloud_gpt4v": ("cloud_claude", "local_qwen", "local_llava", "fallback_ocr"), "cloud_claude": ("cloud_gpt4v", "local_qwen", "local_llava", "fallback_ocr"),
+    "local_qwen": ("cloud_claude", "local_llava", "fallback_ocr"), "local_llava": ("local_qwen", "fallback_ocr"), "fallback_ocr": (),
+}
+
+
+def recommended(text_density: Column, visual_density: Column, level: Column, available: list[str]) -> tuple[Column, Column]:
+    """RT-03: the processor for a document, and the confidence in it: many visuals first, then dense text, then difficulty."""
+    rules = [
+        (visual_density > 1.0, "cloud_gpt4v", 0.9), (text_density > 0.012, "cloud_claude", 0.85), (level.isin("complex", "very_complex"), "local_qwen", 0.8),
+        (level.isin("simple", "moderate"), "local_llava", 0.75), (F.lit(True), "local_qwen", 0.6), (F.lit(True), "local_llava", 0.5),
+    ]
+    name, sure = F.lit("fallback_ocr"), F.lit(0.3)
+    for when, processor, confidence in reversed([r for r in rules if r[1] in available]):
+        name, sure = F.when(when, processor).otherwise(name), F.when(when, confidence).otherwise(sure)
+    return name, sure
+
+
+def strategy(first: Column, level: Column, pages: Column, available: list[str]) -> dict[str, Column]:
+    """RT-04: fallbacks that are available, time limit and cost estimate for a first processor and a difficulty."""
+    rest = F.array().cast("array<string>")
+    for name, order in FALLBACKS.items():
+        rest = F.when(first == name, F.array(*(F.lit(x) for x in order if x in available)).cast("array<string>")).otherwise(rest)
+    limit = F.when(level == "very_complex", 300).when(level == "complex", 180).when(level == "moderate", 120).otherwise(60)
+    return {"fallbacks": rest, "timeout": limit, "cost": F.when(first.contains("cloud"), F.round(0.01 * pages, 6)).otherwise(0.0)}
 
 
 def first_success(attempts: DataFrame, key: str, order: str, ok: str, *values: str) -> DataFrame:

@@ -136,6 +136,22 @@ select zip_file as z, 'Documents' as c, content_file.file_name as path, coalesce
 union all select zip_file, 'Documents', metadata_file.file_name, coalesce(length(metadata_file.extracted_text), 0) from {pairs} where zip_file is not null and metadata_file.file_name is not null) group by z, c, path)"""
 
 
+# every category has its rule: the archive's name decides on one, and on the extension of its content
+_KINDS = ("Presentations", "Images", "Spreadsheets", "Documents", "Emails")
+_FORMS = {"Presentations": "pptx", "Images": "png", "Spreadsheets": "xlsx"}
+_LIST_ALL = f"""(select zip, cat as category, base, case when not contains(lower(path), 'info') then regexp_replace(path, '[.]pdf$', case cat when 'Presentations' then '.pptx' when 'Images' then '.png' when 'Spreadsheets' then '.xlsx' else '.pdf' end) else path end as path, size, ord
+from (select *, ['Presentations', 'Images', 'Spreadsheets', 'Documents', 'Emails'][length(zip) % 5 + 1] as cat from {_LIST}))"""
+
+
+def _listing_all(spark, folder):
+    kind = F.element_at(F.array(*(F.lit(k) for k in _KINDS)), (F.length("zip") % 5 + 1).cast("int"))
+    form = F.lit("pdf")
+    for k, f in _FORMS.items():
+        form = F.when(F.col("category") == k, f).otherwise(form)
+    d = _listing(spark, folder).withColumn("category", kind)
+    return d.withColumn("path", F.when(F.lower("path").contains("info"), F.col("path")).otherwise(F.regexp_replace("path", F.lit("[.]pdf$"), F.concat(F.lit("."), form))))
+
+
 def _listing(spark, folder):
     from pyspark.sql import Window
 
@@ -146,7 +162,7 @@ def _listing(spark, folder):
 
 
 @query(f"""with f as (select *, contains(lower(path), 'info') as info, ends_with(lower(path), '.pdf') as pdf from {_LIST}),
-g as (select zip, count(*) as n, count_if(pdf) as pdfs, max_by(path, case when pdf and info then ord end) as pi, max_by(path, case when pdf and not info and starts_with(lower(path), lower(base)) then ord end) as pc,
+g as (select zip, count(*) as n, count_if(pdf) as pdfs, max_by(path, case when pdf and info then ord end) as pi, max_by(path, case when pdf and not info and starts_with(path, base) then ord end) as pc,
 min_by(path, case when pdf then size * 100000 + ord end) as ps, max_by(path, case when pdf then size * 100000 + ord end) as pl, min_by(path, size * 100000 + ord) as s, max_by(path, size * 100000 + ord) as l,
 min_by(path, case when info then ord end) as ai, min_by(path, case when not info then ord end) as ni, min_by(path, ord) as o from f group by zip)
 select zip, n, case when pdfs >= 2 then case when pi is not null and pc is not null then pc else pl end when n = 1 then o when ai is not null then ni else l end as content,
@@ -155,6 +171,15 @@ def pair01_pair_files(spark, folder):
     return P.pair_files(_listing(spark, folder)).select("zip", "n", "content", "metadata")
 
 
+@query(f"""with f as (select *, contains(lower(path), 'info') as info, lower(regexp_extract(path, '[.]([A-Za-z]+)$', 1)) as ext from {_LIST_ALL} where length(zip) % 5 < 3)
+select zip, category, count(*) as n, case category when 'Presentations' then min_by(path, ord) filter (ext in ('ppt', 'pptx')) when 'Images' then min_by(path, ord) filter (ext in ('png', 'jpg', 'jpeg', 'tiff', 'bmp'))
+else coalesce(min_by(path, ord) filter (ext in ('xlsx', 'xls')), min_by(path, ord) filter (ext = 'csv'), case when count(*) >= 2 and count(*) filter (ext = 'pdf' and info) = 0 then max_by(path, (size, ord)) end) end as content,
+coalesce(min_by(path, ord) filter (ext = 'pdf' and info), case category when 'Presentations' then min_by(path, (size, ord)) filter (ext = 'pdf') when 'Images' then min_by(path, ord) filter (ext = 'pdf') else case when count(*) >= 2 then min_by(path, (size, ord)) end end) as metadata from f group by zip, category""")
+def pair02_pair_by_category(spark, folder):
+    """The rules of presentations, images and spreadsheets."""
+    return P.pair_files(_listing_all(spark, folder).where("category in ('Presentations', 'Images', 'Spreadsheets')"))
+
+
 @query(f"select zip, max_by(path, (contains(lower(path), lower(base)), size, -ord)) as content from {_LIST} where not (contains(lower(path), 'info') and ends_with(lower(path), '.pdf')) group by zip")
 def pair06_content_candidates(spark, folder):
     return P.content_candidates(_listing(spark, folder))
@@ -185,12 +210,28 @@ def rt01_layout_complexity(spark, folder):
     return _features(spark, folder).select("doc_id", "complexity", "level")
 
 
-@query(f"""select doc_id, case level when 'very_complex' then 'cloud_text' when 'complex' then 'cloud_text' when 'moderate' then 'ocr' else 'traditional' end as processor,
-case level when 'very_complex' then 'ocr' when 'complex' then 'ocr' when 'moderate' then 'cloud_text' else 'ocr' end as fallbacks,
-case level when 'very_complex' then 300 when 'complex' then 180 when 'moderate' then 120 else 60 end as timeout, case when level in ('very_complex', 'complex') then round(0.01::double * pages, 6) else 0.0::double end as cost from {_DIF}""")
+@query(f"""with r as (select *, case when visuals / pages > 1.0 then 'cloud_gpt4v' when density > 0.012 then 'cloud_claude' when level in ('complex', 'very_complex') then 'local_qwen' else 'local_llava' end as processor from {_DIF})
+select doc_id, processor, case processor when 'cloud_gpt4v' then 0.9 when 'cloud_claude' then 0.85 when 'local_qwen' then 0.8 else 0.75 end::double as confidence,
+case processor when 'cloud_gpt4v' then 'cloud_claude|local_qwen|local_llava|fallback_ocr' when 'cloud_claude' then 'cloud_gpt4v|local_qwen|local_llava|fallback_ocr' when 'local_qwen' then 'cloud_claude|local_llava|fallback_ocr' else 'local_qwen|fallback_ocr' end as fallbacks,
+case level when 'very_complex' then 300 when 'complex' then 180 when 'moderate' then 120 else 60 end as timeout, case when processor in ('cloud_gpt4v', 'cloud_claude') then round(0.01::double * pages, 6) else 0.0::double end as cost from r""")
 def rt04_strategy(spark, folder):
-    s = T.strategy(F.col("level"), F.col("pages"), ["traditional", "ocr", "cloud_text"])
-    return _features(spark, folder).select("doc_id", s["processor"].alias("processor"), F.array_join(s["fallbacks"], "|").alias("fallbacks"), s["timeout"].alias("timeout"), s["cost"].alias("cost"))
+    return _strategy(spark, folder, list(T.FALLBACKS))
+
+
+@query(f"""with r as (select *, case when density > 0.012 then 'cloud_claude' when level in ('complex', 'very_complex') then 'local_qwen' else 'local_qwen' end as processor, density > 0.012 as dense from {_DIF})
+select doc_id, processor, case when dense then 0.85 when level in ('complex', 'very_complex') then 0.8 else 0.6 end::double as confidence, case when dense then 'local_qwen|fallback_ocr' else 'cloud_claude|fallback_ocr' end as fallbacks,
+case level when 'very_complex' then 300 when 'complex' then 180 when 'moderate' then 120 else 60 end as timeout, case when dense then round(0.01::double * pages, 6) else 0.0::double end as cost from r""")
+def rt03_some_processors(spark, folder):
+    """The same where the first choice for many visuals and the small local model are not there."""
+    return _strategy(spark, folder, ["cloud_claude", "local_qwen", "fallback_ocr"])
+
+
+def _strategy(spark, folder, available):
+    f = _features(spark, folder)
+    name, sure = T.recommended(F.col("density"), F.col("visuals") / F.col("pages"), F.col("level"), available)
+    f = f.select("*", name.alias("processor"), sure.alias("confidence"))
+    s = T.strategy(F.col("processor"), F.col("level"), F.col("pages"), available)
+    return f.select("doc_id", "processor", "confidence", F.array_join(s["fallbacks"], "|").alias("fallbacks"), s["timeout"].alias("timeout"), s["cost"].alias("cost"))
 
 
 @query("""select category, min_by(doc_id, case when coalesce(success, false) then processing_time end) as doc_id from (select * from {vlm} where processing_time is not null) group by category""")

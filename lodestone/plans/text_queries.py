@@ -116,17 +116,23 @@ def txt14_slide_title(spark, folder):
     return d.select("doc_id", C.slide_title(first)[0].alias("title"))
 
 
-@query(r"""with d as (select document_id, coalesce(content_file.extracted_text, '') as t from {pairs} where lower(trim(category)) = 'emails'),
-h as (select document_id, t, regexp_extract(t, 'From:[ \t]*([^\n]*)\n', 1) as "from", regexp_extract(t, 'To:[ \t]*([^\n]*)\n', 1) as "to", regexp_extract(t, 'CC:[ \t]*([^\n]*)\n', 1) as cc,
-regexp_extract(t, 'Subject:[ \t]*([^\n]*)\n', 1) as subject, regexp_extract(t, 'Date:[ \t]*([^\n]*)\n', 1) as date,
-greatest(1, instr(t, regexp_extract(t, 'From:[^\n]*\n')), instr(t, regexp_extract(t, 'To:[^\n]*\n')), instr(t, regexp_extract(t, 'Subject:[^\n]*\n')), instr(t, regexp_extract(t, 'Date:[^\n]*\n'))) as p from d),
-b as (select *, substr(t, p) as rest from h)
-select document_id, "from", "to", cc, subject, date, md5(case when instr(rest, chr(10) || chr(10)) > 0 then substr(rest, instr(rest, chr(10) || chr(10)) + 2) else '' end) as body_md5,
-case when contains("from", '@') then "from" end as author from b""")
+_HEADS = {"from": "From|From:", "to": "To|To:", "cc": "CC|Cc|CC:|Cc:", "subject": "Subject|Subject:", "date": "Date|Sent|Date:|Sent:"}
+_MAIL = (
+    r"with d as (select document_id, coalesce(content_file.extracted_text, '') as t from {pairs} where lower(trim(category)) = 'emails'),"
+    + " h as (select document_id, t, " + ", ".join(rf"""{S.strip(rf"regexp_extract(t, '(?:{f})\s+([^\n]*?)\r?\n', 1)")} as "{n}" """ for n, f in _HEADS.items())
+    + ", greatest(" + ", ".join(rf"length(regexp_extract(t, '(?s)^.*?(?:{_HEADS[n]})\s+[^\n]*?\r?\n'))" for n in ("from", "to", "subject", "date")) + ") as e from d),"
+    + r" r as (select *, substr(t, e + 1) as rest from h), b as (select *, length(regexp_extract(rest, '(?s)^.*?\n\s*\n')) as k from r),"
+    + " c as (select *, " + S.strip("case when e = 0 then '' when k > 0 then substr(rest, k + 1) else rest end") + " as body from b),"
+    + r" p as (select *, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '----+ ?Original Message ?----+', chr(57344), 'g'), '----+ ?Forwarded Message ?----+', chr(57344), 'g'), 'On [^\n\x{{E000}}]* wrote:', chr(57344), 'g'), 'From:[^\n\x{{E000}}]*Sent:[^\n\x{{E000}}]*To:[^\n\x{{E000}}]*Subject:', chr(57344), 'g'), chr(57344)) as parts from c)"
+    + """ select document_id, "from", "to", cc, subject, date, md5(body) as body_md5, case when len(parts) > 1 then md5(array_to_string(parts, '|')) end as parts_md5, case when contains("from", '@') then "from" end as author from p"""
+)
+
+
+@query(_MAIL)
 def txt16_email_fields(spark, folder):
-    p = once(load(spark, folder, "pair_records"), "document_id").where(F.lower(F.trim("category")) == "emails")
+    p = once(load(spark, folder, "pair_records").where(F.lower(F.trim("category")) == "emails"), "document_id")
     f = C.email_fields(F.col("content_file.extracted_text"))
-    return p.select("document_id", *(f[k].alias(k) for k in ("from", "to", "cc", "subject", "date")), F.md5(f["body"]).alias("body_md5"), C.promoted_author(f["from"], F.lit(None).cast("string")).alias("author"))
+    return p.select("document_id", *(f[k].alias(k) for k in ("from", "to", "cc", "subject", "date")), F.md5(f["body"]).alias("body_md5"), F.md5(F.array_join(f["thread_parts"], "|")).alias("parts_md5"), C.promoted_author(f["from"], F.lit(None).cast("string")).alias("author"))
 
 
 @query(f"""select doc_id, {"case " + " ".join(f"when {S.any_of('lower(coalesce(file_name, {q}))'.replace('{q}', chr(39) * 2), t)} then {S.lit(k)}" for k, t in C.IMAGE_NAMES.items())} else 'general_image' end as by_name,
@@ -135,27 +141,27 @@ def txt18_image_type(spark, folder):
     return _store(spark, folder).select("doc_id", C.image_type_by_name(F.col("file_name")).alias("by_name"), C.image_type_by_text(F.col("text_content")).alias("by_text"))
 
 
-@query(rf"""with d as (select doc_id, coalesce(text, '') as t from documents where category = 'Images')
-select doc_id, case when contains(lower(t), 'bar') then 'bar' when contains(lower(t), 'pie') then 'pie' when contains(lower(t), 'line') then 'line' else 'unknown' end as chart_kind,
-array_to_string(list_slice(regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)?'), 1, 20), ' ') as numbers,
-coalesce(list_filter(list_transform(string_split(t, chr(10)), lambda x: {S.strip("x")}), lambda x: length(x) > 10)[1], '') as title from d""")
+@query(rf"""with d as (select doc_id, coalesce(text, '') as t from documents where category = 'Images'), l as (select *, list_transform(string_split(t, chr(10)), lambda x: {S.strip("x")}) as ls from d)
+select doc_id, case when regexp_matches(lower(t), 'bar|column') then 'bar_chart' when regexp_matches(lower(t), 'pie|donut') then 'pie_chart' when regexp_matches(lower(t), 'line|trend') then 'line_chart' else 'unknown' end as chart_kind,
+md5(array_to_string(list_filter(ls, lambda x: regexp_matches(lower(x), 'axis|x:|y:')), '|')) as axes_md5,
+array_to_string(list_slice(regexp_extract_all(t, '[0-9]+\.?[0-9]*'), 1, 20), ' ') as numbers, coalesce(list_filter(ls, lambda x: length(x) > 10)[1], '') as title from l""")
 def txt20_chart_facts(spark, folder):
     f = C.chart_facts(F.col("text"))
-    return load(spark, folder, "documents").where("category = 'Images'").select("doc_id", f["chart_kind"].alias("chart_kind"), F.array_join(f["numbers"], " ").alias("numbers"), f["title"].alias("title"))
+    return load(spark, folder, "documents").where("category = 'Images'").select("doc_id", f["chart_kind"].alias("chart_kind"), F.md5(F.array_join(f["axes"], "|")).alias("axes_md5"), F.array_join(f["numbers"], " ").alias("numbers"), f["title"].alias("title"))
 
 
 @query(rf"""with d as (select doc_id, coalesce(text, '') as t from documents where category = 'Images')
-select doc_id, case when {S.any_of("lower(t)", ("flow", "process"))} then 'flowchart' when {S.any_of("lower(t)", ("architecture", "system"))} then 'architecture' when contains(lower(t), 'network') then 'network' else 'general' end as diagram_kind,
-md5(array_to_string(list_slice(list_filter(list_transform(string_split(t, chr(10)), lambda x: {S.strip("x")}), lambda x: length(x) > 2), 1, 20), '|')) as components_md5, {S.any_of("t", ("->", "→", "=>"))} as arrows from d""")
+select doc_id, case when regexp_matches(lower(t), 'flow|process|step') then 'flowchart' when regexp_matches(lower(t), 'architecture|system|component') then 'architecture_diagram' when regexp_matches(lower(t), 'network|node|connection') then 'network_diagram' else 'general_diagram' end as diagram_kind,
+md5(array_to_string(list_slice(list_filter(list_transform(string_split(t, chr(10)), lambda x: {S.strip("x")}), lambda x: length(x) > 2), 1, 20), '|')) as components_md5, contains(t, '->') or contains(t, '→') as arrows from d""")
 def txt21_diagram_facts(spark, folder):
     f = C.diagram_facts(F.col("text"))
     return load(spark, folder, "documents").where("category = 'Images'").select("doc_id", f["diagram_kind"].alias("diagram_kind"), F.md5(F.array_join(f["components"], "|")).alias("components_md5"), f["arrows"].alias("arrows"))
 
 
-@query(rf"""with d as (select doc_id, coalesce(text_content, '') as t from {{docs}})
-select doc_id, len(list_filter(string_split(t, chr(10)), lambda x: {S.any_of("lower(x)", C.ROOMS)}))::bigint as rooms,
-array_to_string(list_slice(regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)?[ ]?(?:ft|m|cm|mm|in)\b'), 1, 10), '|') as measurements,
-array_to_string(regexp_extract_all(lower(t), '[0-9,]+[ ]?sq\.? ?ft'), '|') as areas from d""".replace("{{", "{").replace("}}", "}"))
+@query(r"""with d as (select doc_id, coalesce(text_content, '') as t from {docs})
+select doc_id, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(lower(x), 'room|bedroom|bathroom|kitchen|living|dining|office|garage|hall|closet|patio|deck')))::bigint as rooms,
+array_to_string(list_slice(regexp_extract_all(t, '[0-9]+\.?[0-9]*[''"\s]*x\s*[0-9]+\.?[0-9]*[''"\s]*'), 1, 10), '|') as measurements,
+array_to_string(regexp_extract_all(lower(t), '[0-9]+\.?[0-9]*\s*(?:sq\.?\s*ft\.?|square feet)'), '|') as areas from d""")
 def txt22_floor_plan_facts(spark, folder):
     f = C.floor_plan_facts(F.col("text_content"))
     return _store(spark, folder).select("doc_id", F.size(f["rooms"]).cast("bigint").alias("rooms"), F.array_join(f["measurements"], "|").alias("measurements"), F.array_join(f["areas"], "|").alias("areas"))
@@ -170,9 +176,14 @@ def txt23_structure_counts(spark, folder):
     return load(spark, folder, "documents").select("doc_id", *(c.alias(k) for k, c in f.items()))
 
 
-@query(rf"""with d as (select doc_id, {S.strip("coalesce(text, '')")} as t from documents)
-select doc_id, length(t) >= 10 and not (starts_with(t, 'PK' || chr(3) || chr(4)) or regexp_matches(t, '\\u[0-9a-fA-F]{{4}}') or regexp_matches(t, '[^\x20-\x7E\t\n\r\f\x0B]{{20}}'))
-and length(regexp_replace(t, '[\x00-\x1F\x7F-\x{{9F}}\x{{FFFD}}]', '', 'g')) >= 0.7 * length(t) as valid from d""".replace("{{", "{").replace("}}", "}").replace("{4}", "{{4}}").replace("{20}", "{{20}}").replace("{9F}", "{{9F}}").replace("{FFFD}", "{{FFFD}}"))
+_SPACE = r"\t-\r\x1C-\x20\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}"
+
+
+@query(
+    "with d as (select doc_id, coalesce(text, '') as t from documents), w as (select *, regexp_replace(t, '[" + _SPACE + r"]', '', 'g') as bare from d) select doc_id, length(" + S.strip("t")
+    + r""") >= 10 and not contains(t, 'PK' || chr(3) || chr(4)) and not regexp_matches(t, '\\u[0-9a-fA-F]{{4}}') and not regexp_matches(t, '[^\x20-\x7E""" + _SPACE + r"""]{{20}}')
+and length(t) - (length(bare) - length(regexp_replace(bare, '\p{{C}}', '', 'g'))) >= 0.7 * length(t) as valid from w"""
+)
 def txt30_valid_text(spark, folder):
     return load(spark, folder, "documents").select("doc_id", C.valid_text(F.col("text")).alias("valid"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What counts as content, and what never does.
-CONTENT = ("pdf", "docx", "doc", "pptx", "ppt", "xlsx", "xls", "csv", "txt", "json", "xml", "html", "png", "jpg", "jpeg")
+CONTENT = ("pdf", "xlsx", "xls", "csv", "docx", "doc", "pptx", "ppt", "png", "jpg", "jpeg", "tiff", "bmp", "txt", "md")
 SYSTEM_FILES = (".DS_Store", "Thumbs.db")
 CATEGORIES = ("Documents", "Emails", "Images", "Presentations", "Spreadsheets")
 #: Bytes of a member beyond which it is reported and not unpacked, and members of one archive.

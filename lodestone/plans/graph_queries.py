@@ -37,39 +37,22 @@ def vec01_text_vector(spark, folder):
     return _docs(spark, folder).select("doc_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.element_at(v, 17), 6).alias("again"))
 
 
-_KNN = "(select e.vec_id, q.vec_id as query_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) as similarity from embeddings e, (select * from embeddings where vec_id < 10) q {0})"
-
-
-@query(f"select query_id, vec_id, similarity, rank::bigint as rank from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from {_KNN.format('')}) where rank <= 5")
-def vec03_nearest_vectors(spark, folder):
-    e = load(spark, folder, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return V.search(e, q, "vec_id", "embedding").withColumn("rank", F.col("rank").cast("bigint"))
-
-
-@query(f"select query_id, vec_id, similarity, rank::bigint as rank from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from {_KNN.format('where e.label = 3')}) where rank <= 5")
-def vec03_nearest_with_filter(spark, folder):
-    e = load(spark, folder, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return V.search(e.where("label = 3"), q, "vec_id", "embedding").withColumn("rank", F.col("rank").cast("bigint"))
-
-
-#: Every row whose id is divisible by 100 is a query.
-_KNN_ALL = _KNN.replace("vec_id < 10", "vec_id % 100 = 0")
+_KNN = "(select e.vec_id, q.vec_id as query_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) as similarity from embeddings e, (select * from embeddings where vec_id % 100 = 0) q {0})"
 
 
 def _all_queries(e):
+    """Every row whose id is divisible by 100 is a query."""
     return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-@query(f"select query_id, vec_id, similarity, rank::bigint as rank from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from {_KNN_ALL.format('')}) where rank <= 5")
-def vec03_nearest_vectors_all(spark, folder):
+@query(f"select query_id, vec_id, similarity, rank::bigint as rank from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from {_KNN.format('')}) where rank <= 5")
+def vec03_nearest_vectors(spark, folder):
     e = load(spark, folder, "embeddings")
     return V.search_all(e, _all_queries(e), "vec_id", "embedding").withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query(f"select query_id, vec_id, similarity, rank::bigint as rank from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from {_KNN_ALL.format('where e.label = 3')}) where rank <= 5")
-def vec03_nearest_with_filter_all(spark, folder):
+@query(f"select query_id, vec_id, similarity, rank::bigint as rank from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from {_KNN.format('where e.label = 3')}) where rank <= 5")
+def vec03_nearest_with_filter(spark, folder):
     e = load(spark, folder, "embeddings")
     return V.search_all(e.where("label = 3"), _all_queries(e), "vec_id", "embedding").withColumn("rank", F.col("rank").cast("bigint"))
 

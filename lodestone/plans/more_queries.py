@@ -243,24 +243,14 @@ def udf04_hooks(spark, folder):
     return reg.execute_hooks("post_extract", _docs(spark, folder)).select("doc_id", "file_name")
 
 
-@query("select doc_id, round(avg(similarity), 6) as avg_similarity, count(*) as hits from (select c.doc_id, list_cosine_similarity(c.embedding::double[], q.embedding::double[]) as similarity from {chunks} c, (select embedding from embeddings where vec_id = 1) q where len(c.embedding) = 64 and len(list_filter(c.embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(c.embedding, lambda x: x <> 0)) > 0) group by doc_id")
-def ag17_mean_similarity(spark, folder):
-    from lodestone.operators.vectors import cosine
-
-    fine = (F.size("embedding") == 64) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    c = once(load(spark, folder, "chunks"), "chunk_id").where(fine)
-    q = load(spark, folder, "embeddings").where("vec_id = 1").select(F.col("embedding").alias("q"))
-    return c.join(q).groupBy("doc_id").agg(F.round(F.avg(cosine(F.col("embedding"), F.col("q"))), 6).alias("avg_similarity"), F.count("*").alias("hits"))
-
-
 @query("select query_id, doc_id, round(avg(similarity), 6) as avg_similarity, count(*) as hits from (select q.vec_id as query_id, c.doc_id, list_cosine_similarity(c.embedding::double[], q.embedding::double[]) as similarity from {chunks} c, (select vec_id, embedding from embeddings where vec_id % 100 = 0) q where len(c.embedding) = 64 and len(list_filter(c.embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(c.embedding, lambda x: x <> 0)) > 0) group by query_id, doc_id")
-def ag17_mean_similarity_all(spark, folder):
-    from lodestone.operators.vectors import cosine
+def ag17_mean_similarity(spark, folder):
+    from lodestone.operators.vectors import mean_similarity
 
     fine = (F.size("embedding") == 64) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    c = once(load(spark, folder, "chunks"), "chunk_id").where(fine)
-    q = load(spark, folder, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return c.join(q).groupBy("query_id", "doc_id").agg(F.round(F.avg(cosine(F.col("embedding"), F.col("q"))), 6).alias("avg_similarity"), F.count("*").alias("hits"))
+    c = once(load(spark, folder, "chunks").where(fine), "chunk_id")
+    q = load(spark, folder, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return mean_similarity(c, q, "doc_id", "embedding")
 
 
 @query("select primary_model, mode, n from (select *, row_number() over (partition by primary_model order by n desc, mode) as r from (select primary_model, vlm_content_type as mode, count(*) as n from {vlm} where vlm_content_type is not null group by 1, 2)) where r = 1")

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 CONTENT = ("pdf", "xlsx", "xls", "csv", "docx", "doc", "pptx", "ppt", "png", "jpg", "jpeg", "tiff", "bmp", "txt", "md")
 SYSTEM_FILES = (".DS_Store", "Thumbs.db")
 CATEGORIES = ("Documents", "Emails", "Images", "Presentations", "Spreadsheets")
-#: Bytes of a member beyond which it is reported and not unpacked, and members of one archive.
-MOST_BYTES, MOST_MEMBERS = 500 * 1024 * 1024, 100_000
+#: Bytes of a member beyond which it is reported and not unpacked, and of the members that are given on together.
+MOST_BYTES, FRAME_BYTES = 500 * 1024 * 1024, 32 * 1024 * 1024
 
 
 def scan(spark: SparkSession, root: str, glob: str = "*", recursive: bool = True) -> DataFrame:
@@ -73,9 +73,6 @@ def members_of(raw: bytes, depth: int, prefix: str = "") -> Iterator[tuple[str,
     except (zipfile.BadZipFile, OSError, ValueError) as e:
         yield prefix.rstrip("/"), len(raw), None, f"bad archive: {e}"
         return
-    if len(listed) > MOST_MEMBERS:
-        yield prefix.rstrip("/"), len(raw), None, f"over {MOST_MEMBERS} members"
-        return
     for m in listed:
         if m.is_dir():
             continue
@@ -101,14 +98,23 @@ def unzip(archives: DataFrame, content: str = "content", keep: tuple[str, ...] =
     """
     schema = ", ".join([*(f"`{k}` {archives.schema[k].dataType.simpleString()}" for k in keep), "member string, ord int, size bigint, data binary, error string"])
 
+    columns = [*keep, "member", "ord", "size", "data", "error"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 raw = row[-1]
                 if raw is None:
                     continue
-                rows = [(*row[:-1], name, i, size, data, error) for i, (name, size, data, error) in enumerate(members_of(bytes(raw), depth))]
-                yield pd.DataFrame(rows, columns=[*keep, "member", "ord", "size", "data", "error"])
+                held, total = [], 0  # members are given on before the next ones are unpacked
+                for i, (name, size, data, error) in enumerate(members_of(bytes(raw), depth)):
+                    held.append((*row[:-1], name, i, size, data, error))
+                    total += len(data or b"") + 200
+                    if total > FRAME_BYTES:
+                        yield pd.DataFrame(held, columns=columns)
+                        held, total = [], 0
+                if held:
+                    yield pd.DataFrame(held, columns=columns)
 
     return archives.select(*keep, content).mapInPandas(run, schema)
 

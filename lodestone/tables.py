@@ -9,7 +9,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,10 +54,13 @@ def once(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage: what ``spark.checkpoint.dir`` names, or one of our own where that is unset."""
+    """The folder for cut lineage: what ``spark.checkpoint.dir`` names; only a session on one machine may do without it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -65,8 +68,3 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, so that later steps read it instead of computing it again."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def blank(c: Column) -> Column:
-    """True where the text is null or has nothing but white space."""
-    return c.isNull() | (F.length(F.trim(F.regexp_replace(c, r"(?U)\s+", " "))) == 0)

@@ -56,3 +56,15 @@ def structure(c: Column) -> Column:
         .when((head == "[") & items.isNotNull(), F.concat(F.lit("array:"), items.cast("string")))
         .when(F.is_variant_null(F.try_parse_json(c)) | F.try_parse_json(c).isNotNull(), F.lit("value"))
     )
+
+
+def item_types(c: Column, first: int = 10) -> Column:
+    """AG-32: the distinct types of the first items of a JSON array, by name; null for what is no array.
+
+    Names are those of JSON: null, boolean, number, string, array, object.
+    """
+    at = lambda i: F.regexp_replace(F.schema_of_variant(F.try_variant_get(F.try_parse_json(c), F.format_string("$[%d]", i), "variant")), r"[<(].*", "")
+    kind = lambda s: F.when(s == "VOID", "null").when(s == "BOOLEAN", "boolean").when(s == "STRING", "string").when(s == "ARRAY", "array").when(s == "OBJECT", "object").otherwise("number")
+    n = F.json_array_length(c)
+    named = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(first)) - 1), lambda i: kind(at(i)))
+    return F.when(n == 0, F.array().cast("array<string>")).when(n > 0, F.array_sort(F.array_distinct(named)))

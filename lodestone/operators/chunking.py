@@ -87,3 +87,14 @@ def chunk_documents(docs: DataFrame, chunks: Column, key: str = "doc_id", tags:
         F.sha2(F.concat_ws("|", "doc_id", F.col("c.ord")), 256).alias("chunk_id"), "doc_id", F.col("c.ord").alias("ord"), F.col("c.chunk").alias("text_chunk"),
         F.when(F.col("c.tag").isNull(), F.col("tags")).otherwise(F.concat("tags", F.array("c.tag"))).alias("tag_context"),
     )
+
+
+def sized_chunks(kind: str, text: Column) -> Column:
+    """CHK-06: regular chunks with the limit and overlap of a kind of content."""
+    limit, overlap = SIZES[kind]
+    return regular_chunks(text, limit, overlap)
+
+
+def office_slide_chunks(text: Column) -> Column:
+    """CHK-07: slides under the mark that office files give them (=== SLIDE n ===), by the rule of CHK-04."""
+    return presentation_chunks(F.regexp_replace(text, rf"==={SPACE}*(SLIDE{SPACE}+[0-9]+){SPACE}*===", "--- $1 ---"))

@@ -254,3 +254,15 @@ def merge_extractions(plain: Column, vision: Column, confidence: Column) -> tupl
     better = F.length(v) > 1.2 * F.length(p)
     source = F.when(better, "vlm").when(F.length(v) > 100, "hybrid").otherwise("traditional")
     return F.when(better, v).when(F.length(v) > 100, F.concat(p, F.lit("\n\n"), v)).otherwise(p), source
+
+
+def slides_of_pages(pages: Column) -> tuple[Column, Column]:
+    """TXT-15: the text of a presentation whose pages are slides, each under its mark, and an array of number, title and content."""
+    mark = lambda i: F.concat(F.lit("\n\n--- SLIDE "), (i + 1).cast("string"), F.lit(" ---\n\n"))
+    text = F.array_join(F.transform(pages, lambda p, i: F.concat(mark(i), p)), "")
+
+    def slide(p: Column, i: Column) -> Column:
+        title, body = slide_title(p)
+        return F.struct((i + 1).alias("slide_num"), title.alias("title"), body.alias("content"))
+
+    return text, F.transform(pages, slide)

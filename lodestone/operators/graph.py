@@ -89,3 +89,39 @@ def degrees(edge: DataFrame) -> DataFrame:
     come = edge.groupBy(F.col("dst_label").alias("label"), F.col("dst").alias("id")).agg(F.count("*").alias("n_in"))
     both = out.join(come, ["label", "id"], "full")
     return both.select("label", "id", F.coalesce("n_out", F.lit(0)).alias("n_out"), F.coalesce("n_in", F.lit(0)).alias("n_in"))
+
+
+def describes(pairs: DataFrame, metadata: Column, content: Column) -> DataFrame:
+    """GR-08: an edge from each metadata document to the content document that it describes."""
+    return edges(pairs, "Document", metadata, "DESCRIBES", "Document", content)
+
+
+def sheet_edges(docs: DataFrame, key: str, sheets: str) -> DataFrame:
+    """GR-10: an edge from each document to each of its sheets (an array of structs with a name); two runs give the same edges."""
+    one = docs.select(key, F.explode(sheets).alias("s"))
+    return edges(one, "Document", F.col(key), "CONTAINS_SHEET", "Sheet", F.concat_ws("#", F.col(key), F.col("s.name")))
+
+
+def subgraph(edge: DataFrame, documents: DataFrame, key: str = "doc_id", include_topics: bool = True) -> DataFrame:
+    """GR-11, FLT-12: what is around each of ``documents``: doc_id, direction, type, label and id of the node at the other end.
+
+    Without topics, topic nodes and CONTAINS edges are left out.
+    """
+    kept = edge if include_topics else edge.where("src_label <> 'Topic' and dst_label <> 'Topic' and type <> 'CONTAINS'")
+    own = documents.select(F.col(key).cast("string").alias("own")).distinct()
+    out = kept.where("src_label = 'Document'").join(own, F.col("src") == F.col("own"), "left_semi").select(F.col("src").alias("doc_id"), F.lit("out").alias("direction"), "type", F.col("dst_label").alias("label"), F.col("dst").alias("id"))
+    come = kept.where("dst_label = 'Document'").join(own, F.col("dst") == F.col("own"), "left_semi").select(F.col("dst").alias("doc_id"), F.lit("in").alias("direction"), "type", F.col("src_label").alias("label"), F.col("src").alias("id"))
+    return out.unionByName(come).distinct()
+
+
+def expand_hits(hits: DataFrame, edge: DataFrame, top: int = 3, k: int = 10) -> DataFrame:
+    """JN-06: the related documents of the first ``top`` hits (rank, doc_id): rank, doc_id, related, relevance and place.
+
+    A document that is related to several hits, or that hits twice, comes once for each of them.
+    """
+    first = hits.where(F.col("rank") <= top).select("rank", "doc_id")
+    near = edge.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edge.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    own = near.join(first.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")
+    ranked = related(own.select(F.col("a").alias("src"), F.col("b").alias("dst")), k).where(F.col("rank") <= k)
+    one = ranked.select(F.col("a").alias("doc_id"), F.col("b").alias("related"), "relevance", F.col("rank").alias("place"))
+    return first.join(one, "doc_id").select("rank", "doc_id", "related", "relevance", "place")

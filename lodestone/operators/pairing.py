@@ -6,7 +6,7 @@ aggregate of conditional extremes: one pass, one row per archive, with partial a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Formats of images.
@@ -79,3 +79,19 @@ def strict_pairs(files: DataFrame) -> DataFrame:
     """PAIR-09: an error for each archive that doesn't hold exactly two PDFs."""
     n = F.count_if(F.lower("path").endswith(".pdf"))
     return files.groupBy("zip").agg(n.alias("pdfs")).withColumn("error", F.when(F.col("pdfs") != 2, F.concat(F.lit("expected 2 PDFs, found "), F.col("pdfs").cast("string"))))
+
+
+def vision_pairs(files: DataFrame) -> DataFrame:
+    """PAIR-07: zip, content and metadata of archives with two PDFs or more: names with info or metadata tell the metadata,
+    names that begin like the archive the content; if either stays open, the smallest PDF is the metadata and the next the content."""
+    bare = F.element_at(F.split("path", "/"), -1)
+    low = F.lower(bare)
+    f = files.where(low.endswith(".pdf"))
+    about = F.lower(F.regexp_replace(bare, r"\.[^.]*$", "")).rlike("info|metadata")
+    own = ~about & bare.startswith(F.col("base"))
+    order = Window.partitionBy("zip").orderBy("size", "ord")
+    g = f.withColumn("place", F.row_number().over(order)).groupBy("zip").agg(
+        F.count("*").alias("n"), _last(about).alias("m"), _last(own).alias("c"), F.max(F.when(F.col("place") == 1, F.col("path"))).alias("first"), F.max(F.when(F.col("place") == 2, F.col("path"))).alias("second")
+    )
+    named = F.col("m").isNotNull() & F.col("c").isNotNull()
+    return g.where("n >= 2").select("zip", F.when(named, F.col("c")).otherwise(F.col("second")).alias("content"), F.when(named, F.col("m")).otherwise(F.col("first")).alias("metadata"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -121,3 +121,20 @@ def mean_similarity(index: DataFrame, queries: DataFrame, by: str, vector: str)
     """AG-17: query_id, ``by``, avg_similarity and hits: the mean cosine of a group's vectors with each query's, by blocks of queries."""
     one = lambda q: index.join(F.broadcast(q)).groupBy("query_id", by).agg(F.round(F.avg(cosine(F.col(vector), F.col("query_vector"))), 6).alias("avg_similarity"), F.count("*").alias("hits"))
     return reduce(DataFrame.unionByName, map(one, blocks(queries.select("query_id", "query_vector"))))
+
+
+def embed(df: DataFrame, text: str, model: Callable[[list[str]], np.ndarray], vector: str = "embedding") -> DataFrame:
+    """VEC-05: ``df`` with the vectors that ``model`` gives for batches of texts; null texts have none.  The model is sent to the tasks once."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text)).to_pylist()
+            at = [i for i, t in enumerate(texts) if t is not None]
+            found = model([texts[i] for i in at]) if at else []
+            out: list = [None] * len(texts)
+            for i, v in zip(at, found):
+                out[i] = [float(x) for x in v]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float32()))], [*b.schema.names, vector])
+
+    return df.mapInArrow(run, f"{kinds}, `{vector}` array<float>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import drift_queries, graph_queries, io_queries, more_queries, registry, relational_queries, text_queries  # noqa: F401  (they register their queries)
+from lodestone.plans import drift_queries, further_queries, graph_queries, io_queries, more_queries, registry, relational_queries, text_queries  # noqa: F401  (they register their queries)
 
 
 def queries():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import pdf_date
@@ -15,7 +16,8 @@ from lodestone.operators import windows as W
 from lodestone.operators.classify import email_fields
 from lodestone.plans import sqltext as S
 from lodestone.plans.registry import query
-from lodestone.tables import load, once
+from lodestone.plans.text_queries import FOLD
+from lodestone.tables import cut, load, once
 
 _VEC = "list_transform(range(64), lambda i: ('0x' || substr(md5(coalesce({0}, '')), (2 * (i % 16) + 1)::int, 2))::int / 255.0::double)"
 
@@ -86,12 +88,6 @@ def gr04_participants(spark, folder):
     return G.participants(_mails(spark, folder), "document_id", "mail_from", "mail_to", "mail_cc")
 
 
-@query()
-def gr06_topic_edges(spark, folder):
-    d = _docs(spark, folder)
-    return G.document_edges(d, W.topics(d, "doc_id", "text_content"))
-
-
 @query("""with e as (select 'part ' || l_partkey as s, 'supplier ' || l_suppkey as d from lineitem), b as (select s as a, d as b from e union all select d, s from e)
 select a, b, relevance, rank::bigint as rank from (select a, b, relevance, row_number() over (partition by a order by relevance desc, b) as rank from (select a, b, count(*) as relevance from b where a <> b group by 1, 2)) where rank <= 10""")
 def jn07_related(spark, folder):
@@ -136,8 +132,6 @@ def _listing_all(spark, folder):
 
 
 def _listing(spark, folder):
-    from pyspark.sql import Window
-
     p = once(load(spark, folder, "pair_records"), "document_id").where("zip_file is not null")
     part = [p.select(F.col("zip_file").alias("zip"), F.col(f"{c}.file_name").alias("path"), F.coalesce(F.length(f"{c}.extracted_text"), F.lit(0)).alias("size")) for c in ("content_file", "metadata_file")]
     g = part[0].unionByName(part[1]).where("path is not null").groupBy("zip", "path").agg(F.min("size").alias("size"))
@@ -278,11 +272,38 @@ def retrieval(spark, folder, question: str = "Which records describe the quarter
     return hits.join(docs.select("doc_id", "file_name"), "doc_id").select(F.col("rank").cast("bigint").alias("rank"), "doc_id", "file_name", "similarity", "context_size")
 
 
-@query()
+_QUESTION = "Which records describe the quarterly budget?"
+_RETRIEVED = f"""{FOLD}, k as (select doc_id, chunk, sha256(doc_id || '|' || (row_number() over (partition by doc_id order by i) - 1)) as chunk_id from c),
+s as (select chunk_id, doc_id, length(chunk)::bigint as context_size, round(list_cosine_similarity({_VEC.format("chunk")}, {_VEC.format(f"'{_QUESTION}'")}), 9) as similarity from k),
+h as (select *, row_number() over (order by similarity desc, chunk_id)::bigint as rank from s qualify rank <= 5),
+hits as (select h.rank, h.doc_id, d.file_name, h.similarity, h.context_size from h join {{docs}} d on d.doc_id = h.doc_id)"""
+
+
+@query(_RETRIEVED + " select * from hits")
 def gr12_retrieval(spark, folder):
-    return retrieval(spark, folder)
+    return retrieval(spark, folder, _QUESTION)
+
+
+def archive_edges(docs):
+    """Each document with the next of its archive."""
+    of = docs.select("doc_id", F.get_json_object("metadata", "$.zip").alias("zip")).where("zip is not null")
+    return of.select(F.col("doc_id").alias("src"), F.lead("doc_id").over(Window.partitionBy("zip").orderBy("doc_id")).alias("dst")).where("dst is not null")
+
+
+@query(_RETRIEVED + """, z as (select doc_id, json_extract_string(metadata, '$.zip') as zip from {docs} where json_valid(metadata)), e as (select doc_id as a, lead(doc_id) over (partition by zip order by doc_id) as b from z where zip is not null),
+n as (select a, b from e where b is not null union all select b, a from e where b is not null), r as (select a, b, count(*) as relevance, row_number() over (partition by a order by count(*) desc, b) as place from n group by a, b qualify place <= 10),
+x as (select 'document' as kind, rank, doc_id, null as related, similarity as relevance from hits union all select 'related', hits.rank, hits.doc_id, r.b, r.relevance from hits join r on r.a = hits.doc_id where hits.rank <= 3)
+select *, count(*) over ()::bigint as total_context_size from x""")
+def gr12_bundle(spark, folder):
+    """GR-12, JN-06: the hits, the documents related to the first three, and how many there are of both."""
+    hits = cut(retrieval(spark, folder, _QUESTION))
+    more = G.expand_hits(hits, archive_edges(_docs(spark, folder)))
+    none = F.lit(None).cast("string")
+    one = hits.select(F.lit("document").alias("kind"), "rank", "doc_id", none.alias("related"), F.col("similarity").alias("relevance"))
+    both = cut(one.unionByName(more.select(F.lit("related").alias("kind"), "rank", "doc_id", "related", F.col("relevance").cast("double").alias("relevance"))))
+    return both.withColumn("total_context_size", F.lit(both.count()))
 
 
 @query("select doc_id, file_name, rank::bigint as rank from (select doc_id, file_name, row_number() over (partition by file_extension order by doc_id) as rank, file_extension from {docs}) where rank <= 3")
-def jn06_first_of_kind(spark, folder):
+def tk11_first_of_kind(spark, folder):
     return R.top_k_per(_docs(spark, folder), ["file_extension"], 3, F.col("doc_id")).select("doc_id", "file_name", F.col("rank").cast("bigint").alias("rank"))

@@ -50,7 +50,7 @@ def flt15_first_pages(spark, folder):
 
 
 @query("select distinct doc_id from {docs} where content_type is not null and len(content_type) > 0")
-def flt12_edges_without_topics(spark, folder):
+def gr_edges_of_types(spark, folder):
     d = _docs(spark, folder)
     e = G.document_edges(d, W.topics(d, "doc_id", "text_content")).where("dst_label <> 'Topic'")
     return e.where("type = 'HAS_TYPE'").select(F.col("src").alias("doc_id")).distinct()
@@ -110,12 +110,13 @@ def prj06_linked_pairs(spark, folder):
     return _docs(spark, folder).select("doc_id", F.array_join(F.when(F.array_contains(have, "paired"), have).otherwise(F.concat(have, F.array(F.lit("paired")))), "|").alias("types"))
 
 
-@query("select category, count(*) as n from {pairs} where content_file.file_name is not null and metadata_file.file_name is not null group by category")
+@query("""select category, count(*) as n from {pairs} where content_file.file_name in
+(select content_file.file_name from {pairs} where metadata_file.file_name is not null and coalesce(metadata_file.extraction_method, '') <> 'not_found') group by category""")
 def jn16_described_pairs(spark, folder):
+    """Pairs whose content file some metadata file that was found describes."""
     p = _pairs(spark, folder)
-    e = G.edges(p, "MetadataDocument", F.col("metadata_file.file_name"), "DESCRIBES", "Document", F.col("content_file.file_name"))
-    there = p.where(F.col("content_file.file_name").isNotNull() & F.col("metadata_file.file_name").isNotNull())
-    known = there.join(e.select(F.col("dst").alias("d")).distinct(), F.col("content_file.file_name") == F.col("d"), "left_semi")
+    e = G.describes(p.where(F.coalesce("metadata_file.extraction_method", F.lit("")) != "not_found"), F.col("metadata_file.file_name"), F.col("content_file.file_name"))
+    known = p.join(e.select(F.col("dst").alias("d")), F.col("content_file.file_name") == F.col("d"), "left_semi")
     return known.groupBy("category").agg(F.count("*").alias("n"))
 
 
@@ -164,7 +165,7 @@ def ag24_running_success_rate(spark, folder):
 
 
 @query("select box_folder, category, count(*) as n from documents group by grouping sets ((box_folder), (category))")
-def ag33_grouping_sets(spark, folder):
+def ag_grouping_sets(spark, folder):
     d = load(spark, folder, "documents")
     return d.groupingSets([[F.col("box_folder")], [F.col("category")]], "box_folder", "category").agg(F.count("*").alias("n"))
 
@@ -175,12 +176,19 @@ def ag34_storage_counters(spark, folder):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query(r"""with m as (select doc_id, unnest(regexp_extract_all(text, '--- SLIDE [0-9]+ ---')) as mark, generate_subscripts(regexp_extract_all(text, '--- SLIDE [0-9]+ ---'), 1) as k, text from documents),
-p as (select doc_id, k, mark, instr(text, mark) as start, length(text) + 1 as n from m) select doc_id, k::bigint as slide, start::bigint as start, coalesce(lead(start) over (partition by doc_id order by start, k), n)::bigint as stop from p""")
+@query(r"""with p as (select doc_id, string_split_regex(text, '--- SLIDE [0-9]+ ---') as parts, regexp_extract_all(text, '--- SLIDE [0-9]+ ---') as marks, length(text) + 1 as n from documents where contains(text, '--- SLIDE ')),
+k as (select doc_id, n, marks, parts, unnest(range(1, len(marks) + 1)) as slide from p),
+s as (select doc_id, slide, n, 1 + list_sum(list_transform(parts[:slide], lambda x: length(x))) + coalesce(list_sum(list_transform(marks[:slide - 1], lambda x: length(x))), 0) as start from k)
+select doc_id, slide::bigint as slide, start::bigint as start, coalesce(lead(start) over (partition by doc_id order by slide), n)::bigint as stop from s""")
 def wn05_slide_spans(spark, folder):
-    d = load(spark, folder, "documents").select("doc_id", "text", F.posexplode(F.regexp_extract_all("text", F.lit("--- SLIDE [0-9]+ ---"), F.lit(0))).alias("k", "mark"))
-    d = d.select("doc_id", (F.col("k") + 1).cast("bigint").alias("slide"), F.instr("text", F.col("mark")).cast("bigint").alias("start"), (F.length("text") + 1).cast("bigint").alias("n"))
-    return W.slide_spans(d, "doc_id", "start", "n", "slide").select("doc_id", "slide", "start", F.col("end").alias("stop"))
+    mark = F.lit("--- SLIDE [0-9]+ ---")
+    d = load(spark, folder, "documents").where(F.col("text").contains("--- SLIDE ")).select("doc_id", "text", F.split("text", "--- SLIDE [0-9]+ ---").alias("parts"), F.regexp_extract_all("text", mark, F.lit(0)).alias("marks"))
+    # a mark stands behind all parts and marks before it
+    before = F.transform(F.arrays_zip("parts", "marks"), lambda x: F.struct(F.length(x["parts"]).alias("part"), F.coalesce(F.length(x["marks"]), F.lit(0)).alias("mark")))
+    starts = F.aggregate(before, F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, x: F.struct((s["at"] + x["part"] + x["mark"]).alias("at"), F.concat(s["out"], F.array(s["at"] + x["part"])).alias("out")), lambda s: s["out"])
+    one = d.select("doc_id", (F.length("text") + 1).cast("bigint").alias("n"), F.posexplode(F.slice(starts, F.lit(1), F.size("marks"))).alias("k", "start"))
+    one = one.select("doc_id", (F.col("k") + 1).cast("bigint").alias("slide"), F.col("start").cast("bigint").alias("start"), "n")
+    return W.slide_spans(one, "doc_id", "start", "n", "slide").select("doc_id", "slide", "start", F.col("end").alias("stop"))
 
 
 @query("select zip_file, min(name) as info_name from (select zip_file, content_file.file_name as name from {pairs} union all select zip_file, metadata_file.file_name from {pairs}) where contains(lower(name), 'info') group by zip_file")
@@ -259,12 +267,12 @@ def ag22_type_by_model(spark, folder):
 
 
 @query("select doc_id, tag, n from (select doc_id, unnest(tag_context) as tag, count(*) as n from {chunks} group by 1, 2)")
-def gr10_tag_counts(spark, folder):
+def ag36_tag_counts(spark, folder):
     return once(load(spark, folder, "chunks"), "chunk_id").select("doc_id", F.explode("tag_context").alias("tag")).groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query("select distinct 'Document' as src_label, document_id as src, 'IN_ZIP' as type, 'Zip' as dst_label, zip_file as dst from {pairs} where zip_file is not null")
-def gr08_pair_edges(spark, folder):
+def gr_zip_edges(spark, folder):
     return G.edges(_pairs(spark, folder), "Document", F.col("document_id"), "IN_ZIP", "Zip", F.col("zip_file"))
 
 

@@ -206,7 +206,7 @@ def txt41_merge_extractions(spark, folder):
 
 
 # --- chunks ---------------------------------------------------------------------------------------------------------
-_FOLD = rf"""with recursive p as (select doc_id, string_split_regex(text_content, '\n{S.SP}*\n') as ps from {{docs}} where length(text_content) > 0),
+FOLD = rf"""with recursive p as (select doc_id, string_split_regex(text_content, '\n{S.SP}*\n') as ps from {{docs}} where length(text_content) > 0),
 f as (select doc_id, ps, 0 as i, '' as cur, cast(null as varchar) as done from p
 union all select doc_id, ps, i + 1,
 case when length(cur) + length(ps[i + 1]) > 500 then case when length(cur) > 0 then array_to_string(list_slice({S.words("cur")}, -50, -1), ' ') || ' ' || ps[i + 1] else ps[i + 1] end
@@ -216,7 +216,7 @@ c as (select doc_id, i, done as chunk from f where done is not null union all se
 """
 
 
-@query(_FOLD + "select doc_id, (row_number() over (partition by doc_id order by i) - 1)::bigint as ord, length(chunk)::bigint as n, md5(chunk) as chunk_md5 from c")
+@query(FOLD + "select doc_id, (row_number() over (partition by doc_id order by i) - 1)::bigint as ord, length(chunk)::bigint as n, md5(chunk) as chunk_md5 from c")
 def chk02_regular_chunks(spark, folder):
     c = K.chunk_documents(_store(spark, folder), K.regular_chunks(F.col("text_content")))
     return c.select("doc_id", F.col("ord").cast("bigint").alias("ord"), F.length("text_chunk").cast("bigint").alias("n"), F.md5("text_chunk").alias("chunk_md5"))
@@ -232,11 +232,11 @@ def chk03_email_parts(spark, folder):
     return c.select(F.col("doc_id").alias("document_id"), F.col("ord").cast("bigint").alias("ord"), F.col("tag_context")[0].alias("tag"), F.md5("text_chunk").alias("chunk_md5"))
 
 
-@query(rf"""with d as (select doc_id, regexp_replace(text, '({K.SLIDE_MARK})', chr(1) || '\1', 'g') as t from documents where regexp_matches(text, '{K.SLIDE_MARK}') and not contains(text, chr(1))),
-s as (select doc_id, unnest((string_split(t, chr(1)))[2:]) as x, generate_subscripts((string_split(t, chr(1)))[2:], 1) - 1 as ord from d)
+@query(rf"""with d as (select doc_id, regexp_replace(text, '(---[ \t\n\r\f\x0B]*SLIDE[ \t\n\r\f\x0B]+[0-9]+[ \t\n\r\f\x0B]*---)', chr(57344) || '\1', 'g') as t from documents where regexp_matches(text, '---[ \t\n\r\f\x0B]*SLIDE[ \t\n\r\f\x0B]+[0-9]+[ \t\n\r\f\x0B]*---')),
+s as (select doc_id, unnest((string_split(t, chr(57344)))[2:]) as x, generate_subscripts((string_split(t, chr(57344)))[2:], 1) - 1 as ord from d)
 select doc_id::varchar as doc_id, ord::bigint as ord, 'slide_' || regexp_extract(x, '{K.SLIDE_NUMBER}', 1) as tag, md5({S.strip("x")}) as chunk_md5 from s""")
 def chk04_slides(spark, folder):
-    d = load(spark, folder, "documents").where(F.col("text").rlike(K.SLIDE_MARK) & ~F.col("text").contains("\x01"))
+    d = load(spark, folder, "documents").where(F.col("text").rlike(K.SLIDE_MARK))
     c = K.chunk_documents(d, K.presentation_chunks(F.col("text")))
     return c.select("doc_id", F.col("ord").cast("bigint").alias("ord"), F.col("tag_context")[0].alias("tag"), F.md5("text_chunk").alias("chunk_md5"))
 

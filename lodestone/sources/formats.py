@@ -75,6 +75,96 @@ def csv_text(raw: bytes) -> tuple[str, str, list[str]]:
     return "\n".join("\t".join(r) for r in rows), "csv", []
 
 
+def csv_first(raw: bytes, most: int = 100) -> tuple[str, int, int]:
+    """SRC-26: the first ``most`` rows as lines of tab-separated cells; how many rows there are, and columns in the first."""
+    rows = list(csv.reader(io.StringIO(decoded(raw)[0])))
+    return "\n".join("\t".join(r) for r in rows[:most]), len(rows), len(rows[0]) if rows else 0
+
+
+def csv_profile(raw: bytes, name: str, preview: int = 100) -> dict:
+    """SRC-25: text with head and preview, counts of rows and columns, headers, and how many cells of each column are filled.
+
+    The first line is the header; rows that are shorter lack their last cells.  No rows give a rate of 0.
+    """
+    reader = csv.DictReader(decoded(raw)[0].splitlines())
+    heads = list(reader.fieldnames or [])
+    rows = list(reader)
+    out = [f"CSV File: {name}", f"Headers: {', '.join(heads)}", f"Total Rows: {len(rows)}", "\n=== DATA PREVIEW ==="]
+    if heads:
+        out += [" | ".join(heads), "-" * len(" | ".join(heads))]
+    out += [" | ".join(str(r.get(h, "")) for h in heads) for r in rows[:preview]]
+    if len(rows) > preview:
+        out.append(f"\n... ({len(rows) - preview} more rows)")
+    filled = {h: sum(1 for r in rows if (r.get(h) or "").strip()) for h in heads}
+    return {
+        "text": "\n".join(out), "row_count": len(rows), "column_count": len(heads), "headers": heads,
+        "filled": filled, "fill_rate": {h: n / len(rows) if rows else 0.0 for h, n in filled.items()},
+    }
+
+
+def _core(raw: bytes) -> dict[str, str]:
+    """The core properties of an office file by name."""
+    return {NAME.sub("", e.tag): (e.text or "").strip() for _, root in _parts(raw, r"docProps/core\.xml") for e in root}
+
+
+def word_facts(raw: bytes) -> dict:
+    """SRC-27: paragraphs and then tables (cells joined by bars) as text, author, time of creation, and counts of paragraphs, tables and words."""
+    paragraphs, tables = [], []
+    for _, root in _parts(raw, r"word/document\.xml"):
+        body = next((e for e in root.iter() if NAME.sub("", e.tag) == "body"), root)
+        for e in body:
+            kind = NAME.sub("", e.tag)
+            if kind == "p" and _texts(e, "t").strip():
+                paragraphs.append(_texts(e, "t"))
+            elif kind == "tbl":
+                rows = [[_texts(c, "t").strip() for c in r if NAME.sub("", c.tag) == "tc"] for r in e if NAME.sub("", r.tag) == "tr"]
+                tables.append("\n".join(" | ".join(r) for r in rows))
+    text, core = "\n".join(paragraphs + tables), _core(raw)
+    return {"text": text, "author": core.get("creator", ""), "created": core.get("created", ""), "paragraphs": len(paragraphs), "tables": len(tables), "word_count": len(text.split())}
+
+
+def slides_facts(raw: bytes) -> list[dict]:
+    """SRC-28, AG-27: number, text, notes, shapes, images, charts and length of each slide."""
+    notes = {re.findall(r"\d+", n)[0]: root for n, root in _parts(raw, r"ppt/notesSlides/notesSlide\d+\.xml")}
+    out = []
+    for n, (name, root) in enumerate(_parts(raw, r"ppt/slides/slide\d+\.xml"), 1):
+        tags = [NAME.sub("", e.tag) for e in root.iter()]
+        lines = [t for p in root.iter() if NAME.sub("", p.tag) == "p" and (t := _texts(p, "t")).strip()]
+        own = notes.get(re.findall(r"\d+", name)[0])
+        said = "" if own is None else "\n".join(t for p in own.iter() if NAME.sub("", p.tag) == "p" and (t := _texts(p, "t")).strip())
+        lines += [f"\n[Notes: {said}]"] if said else []
+        out.append({
+            "slide_number": n, "text": "\n".join(lines), "notes": said, "shapes_count": sum(tags.count(t) for t in ("sp", "pic", "graphicFrame", "cxnSp", "grpSp")),
+            "has_image": "pic" in tags, "has_chart": "chart" in tags, "text_length": sum(map(len, lines)),
+        })
+    return out
+
+
+def sheet_facts(raw: bytes, head: int = 5) -> list[dict]:
+    """SRC-23: name, rows and columns of each sheet, its first ``head`` rows, and of its columns of numbers count, minimum, maximum and mean."""
+    sheets: dict[str, list[list[str]]] = {}
+    for name, cells in sheet_rows(raw):
+        sheets.setdefault(name, []).append(cells)
+    out = []
+    for name, rows in sheets.items():
+        width = max(map(len, rows))
+        heads = [*rows[0], *[""] * (width - len(rows[0]))]
+        stats = {}
+        for k, h in enumerate(heads):
+            numbers = [v for r in rows[1:] if k < len(r) and (v := as_number(r[k])) is not None]
+            if numbers:
+                stats[h or f"column {k + 1}"] = {"count": len(numbers), "min": min(numbers), "max": max(numbers), "mean": sum(numbers) / len(numbers)}
+        out.append({"name": name, "rows": len(rows), "columns": width, "head": rows[:head], "stats": stats})
+    return out
+
+
+def as_number(s: str) -> float | None:
+    try:
+        return float(s)
+    except ValueError:
+        return None
+
+
 def _parts(raw: bytes, pattern: str) -> list[tuple[str, ET.Element]]:
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         names = [n for n in z.namelist() if re.fullmatch(pattern, n)]

@@ -248,12 +248,19 @@ def info_sheet(text: Column, *names: str) -> dict[str, Column]:
     return {n: F.nullif(F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?:^|\n){n}:[ \t]*([^\n]*)", 1)), F.lit("")) for n in names}
 
 
-def merge_extractions(plain: Column, vision: Column, confidence: Column) -> tuple[Column, Column]:
-    """TXT-41: text and text_source of two extractions of one document."""
+def merge_extractions(plain: Column, vision: Column, confidence: Column, types: Column, vision_type: Column) -> dict[str, Column]:
+    """TXT-41: text, text_source and types of two extractions of one document.
+
+    The vision model's text counts alone if it is longer by a fifth, and goes before the other if it has over 100
+    characters; its type counts alone if its confidence is over 0.7, else all types do, by name.
+    """
     p, v = F.coalesce(plain, F.lit("")), F.coalesce(vision, F.lit(""))
+    kind = F.coalesce(vision_type, F.lit("mixed"))
     better = F.length(v) > 1.2 * F.length(p)
-    source = F.when(better, "vlm").when(F.length(v) > 100, "hybrid").otherwise("traditional")
-    return F.when(better, v).when(F.length(v) > 100, F.concat(p, F.lit("\n\n"), v)).otherwise(p), source
+    source = F.when(better, "vlm_enhanced").when(F.length(v) > 100, "hybrid").otherwise("traditional")
+    text = F.when(better, v).when(F.length(v) > 100, F.concat(v, F.lit("\n\n--- Traditional Fallback ---\n\n"), p)).otherwise(p)
+    every = F.array_sort(F.array_distinct(F.concat(F.array(kind), F.coalesce(types, F.array().cast("array<string>")))))
+    return {"text": text, "text_source": source, "types": F.when(F.coalesce(confidence, F.lit(0.0)) > 0.7, F.array(kind)).otherwise(every)}
 
 
 def slides_of_pages(pages: Column) -> tuple[Column, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import strip
+from lodestone.functions.text import mail_date, strip
 from lodestone.operators import aggregates as A
 from lodestone.operators import classify as C
 from lodestone.operators import graph as G
@@ -13,6 +13,7 @@ from lodestone.operators import relational as R
 from lodestone.operators import windows as W
 from lodestone.plans import sqltext as S
 from lodestone.plans.registry import query
+from lodestone.plans.text_queries import MAIL
 from lodestone.sources import formats
 from lodestone.sources import pages as P
 from lodestone.tables import load, once
@@ -120,12 +121,16 @@ def jn16_described_pairs(spark, folder):
     return known.groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query("""select d.doc_id, case when length(coalesce(v.text_content, '')) > 1.2 * length(coalesce(d.text_content, '')) then 'vlm' when length(coalesce(v.text_content, '')) > 100 then 'hybrid' else 'traditional' end as text_source
-from {docs} d left join (select file_name, max(text_content) as text_content from {vlm} group by file_name) v on v.file_name = d.file_name""")
+@query("""select d.doc_id, md5(case when length(v.t) > 1.2 * length(d.t) then v.t when length(v.t) > 100 then v.t || chr(10) || chr(10) || '--- Traditional Fallback ---' || chr(10) || chr(10) || d.t else d.t end) as text_md5,
+case when length(v.t) > 1.2 * length(d.t) then 'vlm_enhanced' when length(v.t) > 100 then 'hybrid' else 'traditional' end as text_source,
+array_to_string(case when coalesce(v.c, 0) > 0.7 then [coalesce(v.k, 'mixed')] else list_sort(list_distinct([coalesce(v.k, 'mixed')] || coalesce(d.types, []))) end, '|') as types
+from (select doc_id, file_name, coalesce(text_content, '') as t, content_type as types from {docs}) d left join (select file_name as f, max(coalesce(text_content, '')) as t, max(vlm_confidence) as c, max(vlm_content_type) as k from {vlm} group by 1
+union all select file_name, '', null, null from {docs} where file_name is null or file_name not in (select file_name from {vlm} where file_name is not null)) v on v.f is not distinct from d.file_name""".replace("union all select file_name, '', null, null from {docs}", "union all select distinct file_name, '', null::double, null from {docs}"))
 def jn17_merged_extractions(spark, folder):
-    v = _vlm(spark, folder).groupBy("file_name").agg(F.max("text_content").alias("vision"))
+    v = _vlm(spark, folder).where("file_name is not null").groupBy("file_name").agg(F.max("text_content").alias("vision"), F.max("vlm_confidence").alias("sure"), F.max("vlm_content_type").alias("seen"))
     d = _docs(spark, folder).join(v, "file_name", "left")
-    return d.select("doc_id", C.merge_extractions(F.col("text_content"), F.col("vision"), F.lit(1.0))[1].alias("text_source"))
+    m = C.merge_extractions(F.col("text_content"), F.col("vision"), F.col("sure"), F.col("content_type"), F.col("seen"))
+    return d.select("doc_id", F.md5(m["text"]).alias("text_md5"), m["text_source"].alias("text_source"), F.array_join(m["types"], "|").alias("types"))
 
 
 @query("select count(*) as total, round(count_if(coalesce(success, false)) / count(*), 6) as success_rate, round(avg(processing_time), 6) as mean_time, count(distinct content_format) as formats, round(sum(processing_cost), 6) as cost from {vlm}")
@@ -223,9 +228,13 @@ def tk08_heads(spark, folder):
     return _docs(spark, folder).where("text_content is not null").select("doc_id", F.substring("text_content", 1, 500).alias("head"), F.array_join(F.slice(F.split("text_content", "\n"), 1, 10), "\n").alias("first_lines"))
 
 
-@query("select doc_id, case when contains(author, '@') then author else 'store' end as author from {docs}")
+@query("select m.document_id, coalesce(m.author, nullif(trim(regexp_extract(coalesce(p.metadata_file.extracted_text, ''), '(?:^|\\n)Author:[ \\t]*([^\\n]*)', 1)), '')) as author, try_strptime(m.date, '%m/%d/%Y %H:%M')::varchar as created_at from (" + MAIL + ") m join {pairs} p on p.document_id = m.document_id")
 def txt17_promoted_authors(spark, folder):
-    return _docs(spark, folder).select("doc_id", F.coalesce(C.promoted_author(F.col("author"), F.lit("store")), F.lit("store")).alias("author"))
+    """The sender of a mail, if that is an address, else the author that its information sheet names; and when it was sent."""
+    p = once(load(spark, folder, "pair_records").where(F.lower(F.trim("category")) == "emails"), "document_id")
+    f = C.email_fields(F.col("content_file.extracted_text"))
+    named = C.info_sheet(F.col("metadata_file.extracted_text"), "Author")["Author"]
+    return p.select("document_id", C.promoted_author(f["from"], named).alias("author"), F.date_format(mail_date(f["date"]), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
 
 @query("select category, min_by(doc_id, (processing_time, doc_id)) as fastest, max_by(doc_id, (processing_time, doc_id)) as slowest from {vlm} where processing_time is not null group by category")

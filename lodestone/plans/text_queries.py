@@ -117,7 +117,7 @@ def txt14_slide_title(spark, folder):
 
 
 _HEADS = {"from": "From|From:", "to": "To|To:", "cc": "CC|Cc|CC:|Cc:", "subject": "Subject|Subject:", "date": "Date|Sent|Date:|Sent:"}
-_MAIL = (
+MAIL = (
     r"with d as (select document_id, coalesce(content_file.extracted_text, '') as t from {pairs} where lower(trim(category)) = 'emails'),"
     + " h as (select document_id, t, " + ", ".join(rf"""{S.strip(rf"regexp_extract(t, '(?:{f})\s+([^\n]*?)\r?\n', 1)")} as "{n}" """ for n, f in _HEADS.items())
     + ", greatest(" + ", ".join(rf"length(regexp_extract(t, '(?s)^.*?(?:{_HEADS[n]})\s+[^\n]*?\r?\n'))" for n in ("from", "to", "subject", "date")) + ") as e from d),"
@@ -128,7 +128,7 @@ _MAIL = (
 )
 
 
-@query(_MAIL)
+@query(MAIL)
 def txt16_email_fields(spark, folder):
     p = once(load(spark, folder, "pair_records").where(F.lower(F.trim("category")) == "emails"), "document_id")
     f = C.email_fields(F.col("content_file.extracted_text"))
@@ -196,13 +196,15 @@ def txt40_info_sheet(spark, folder):
     return p.select("document_id", *(c.alias(n.lower().replace(" ", "_")) for n, c in f.items()))
 
 
-@query("""with d as (select document_id, coalesce(content_file.extracted_text, '') as p, coalesce(metadata_file.extracted_text, '') as v from {pairs})
-select document_id, length(case when length(v) > 1.2 * length(p) then v when length(v) > 100 then p || chr(10) || chr(10) || v else p end)::bigint as n,
-case when length(v) > 1.2 * length(p) then 'vlm' when length(v) > 100 then 'hybrid' else 'traditional' end as text_source from d""")
+@query("""with d as (select document_id, coalesce(content_file.extracted_text, '') as p, coalesce(metadata_file.extracted_text, '') as v, coalesce(length(metadata_file.extracted_text), 0) % 10 / 10.0::double as c, category as k from {pairs})
+select document_id, length(case when length(v) > 1.2 * length(p) then v when length(v) > 100 then v || repeat(' ', 32) || p else p end)::bigint as n,
+case when length(v) > 1.2 * length(p) then 'vlm_enhanced' when length(v) > 100 then 'hybrid' else 'traditional' end as text_source,
+array_to_string(case when c > 0.7 then [coalesce(k, 'mixed')] else list_sort(list_distinct([coalesce(k, 'mixed'), 'document', 'pdf'])) end, '|') as types from d""")
 def txt41_merge_extractions(spark, folder):
     p = once(load(spark, folder, "pair_records"), "document_id")
-    text, source = C.merge_extractions(F.col("content_file.extracted_text"), F.col("metadata_file.extracted_text"), F.lit(1.0))
-    return p.select("document_id", F.length(text).cast("bigint").alias("n"), source.alias("text_source"))
+    sure = F.coalesce(F.length("metadata_file.extracted_text"), F.lit(0)) % 10 / 10.0
+    m = C.merge_extractions(F.col("content_file.extracted_text"), F.col("metadata_file.extracted_text"), sure, F.array(F.lit("pdf"), F.lit("document")), F.col("category"))
+    return p.select("document_id", F.length(m["text"]).cast("bigint").alias("n"), m["text_source"].alias("text_source"), F.array_join(m["types"], "|").alias("types"))
 
 
 # --- chunks ---------------------------------------------------------------------------------------------------------

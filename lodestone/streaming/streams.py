@@ -88,6 +88,8 @@ def run_available(stream: DataFrame, mode: str, each: Callable[[DataFrame, int],
     query.awaitTermination()
     if each:
         return None
+    if not last:  # a stream without a row has no batch
+        return spark.createDataFrame([], stream.schema)
     if mode == "complete":
         return spark.read.parquet(f"{root}/out/batch={max(last)}")
     return spark.read.parquet(f"{root}/out").drop("batch")

@@ -375,3 +375,19 @@ def test_search_of_odd_vectors(spark):
     got = [(r.query_id, r.id, r.similarity, r.extra) for r in search(index, asked, "id", "v", 4, ("extra",)).orderBy("rank").collect()]
     assert got == [("q", 1, 1.0, "e"), ("q", 2, 1.0, "e"), ("q", 5, 0.0, "e"), ("q", 8, -1.0, "e")]
     assert search(index.limit(0), asked, "id", "v").count() == 0 and search(index, asked.limit(0), "id", "v").count() == 0
+
+
+def test_dates_of_mails(spark):
+    from lodestone.functions.text import mail_date
+
+    rows = ["4/2/2019 18:05", "12/28/2020 1:05:09 PM", "December 28, 2020 17:07", "Mon, 28 Dec 2020 17:07:09 +0100 (CET)", "2020-12-28T17:07:09", "yesterday", "", None]
+    got = [r.v for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(F.date_format(mail_date(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("v")).collect()]
+    assert got == ["2019-04-02 18:05:00", "2020-12-28 13:05:09", "2020-12-28 17:07:00", "2020-12-28 17:07:09", "2020-12-28 17:07:09", None, None, None]
+
+
+def test_a_stream_without_rows(spark, tmp_path):
+    from lodestone.streaming import streams
+
+    spark.createDataFrame([], "ts timestamp, kind string, value double").write.parquet(f"{tmp_path}/none")
+    s = spark.readStream.schema("ts timestamp, kind string, value double").parquet(f"{tmp_path}/none")
+    assert streams.run_available(s.where("value > 0"), "append").count() == 0

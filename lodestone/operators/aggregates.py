@@ -41,12 +41,6 @@ def mode_of(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return best.select(*by, F.col("b.value").alias("mode"), (-F.col("b.m")).alias("n"))
 
 
-def floor_quantile(values: Column, q: float) -> Column:
-    """AG-23: the value at floor(q * (n - 1)) of the sorted values of a group; null without values."""
-    s = F.sort_array(F.collect_list(values))
-    return F.try_element_at(s, (F.floor(F.lit(q) * (F.size(s) - 1)) + 1).cast("int"))
-
-
 def exact_floor_quantiles(df: DataFrame, by: str, value: str, q: float) -> DataFrame:
     """AG-23 for groups of any size: the values are counted first, and the cumulated counts find the place.
 

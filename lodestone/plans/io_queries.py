@@ -88,7 +88,9 @@ def str03_tumbling_counts(spark, folder):
     return out.withColumn("from_time", F.date_format("from_time", "yyyy-MM-dd HH:mm"))
 
 
-@query()
+@query("""with e as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) > interval 6 hours, true) as new from events),
+g as (select user_id, ts, sum(new::int) over (partition by user_id order by ts) as k from e), s as (select user_id, min(ts) as from_time, max(ts) + interval 6 hours as to_time, count(*) as n from g group by user_id, k)
+select * from s where to_time <= (select max(ts) - interval 1 day from events)""")
 def str06_sessions(spark, folder):
     e = streams.read_events(spark, folder)
     return streams.run_available(streams.sessions(e, "ts", "user_id"), "append")

@@ -348,12 +348,13 @@ def js01_event_fields(spark, folder):
     return e.select("event_id", F.get_json_object("event_data", "$.status").alias("status"))
 
 
-@query()
+@query("""select d.doc_id, substr(t.fullkey, 3) as path, case t.type when 'NULL' then null else json_extract_string(t.value, '$') end as value from {docs} d, json_tree(d.metadata) t
+where json_valid(d.metadata) and json_type(d.metadata) in ('OBJECT', 'ARRAY') and t.type not in ('OBJECT', 'ARRAY')""")
 def js02_flatten_metadata(spark, folder):
     return J.flatten(_docs(spark, folder), "doc_id", "metadata")
 
 
-@query()
+@query("""select event_id, case when json_valid(event_data) then case json_type(event_data) when 'OBJECT' then 'object:' || len(json_keys(event_data)) when 'ARRAY' then 'array:' || json_array_length(event_data) else 'value' end end as structure from {events}""")
 def js03_structure(spark, folder):
     return _events(spark, folder).select("event_id", J.structure(F.col("event_data")).alias("structure"))
 

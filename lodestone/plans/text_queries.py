@@ -253,7 +253,22 @@ def chk05_image_chunks(spark, folder):
     return c.select("doc_id", F.col("ord").cast("bigint").alias("ord"), F.try_element_at("tag_context", F.lit(1)).alias("tag"), F.md5("text_chunk").alias("chunk_md5"))
 
 
-@query()
+_EM = r"----+ ?Original Message ?----+|----+ ?Forwarded Message ?----+|On [^\n]* wrote:|From:[^\n]*Sent:[^\n]*To:[^\n]*Subject:"
+_SL = r"---[ \t\n\r\f\x0B]*SLIDE[ \t\n\r\f\x0B]+[0-9]+[ \t\n\r\f\x0B]*---"
+_DISPATCH = FOLD.replace("{docs}", f"(select doc_id, text as text_content from documents where not coalesce(category = 'Emails' and regexp_matches(text, '{_EM}') or category = 'Presentations' and regexp_matches(text, '{_SL}') or category = 'Images', false))").replace("{{", "{").replace("}}", "}") + rf""",
+e as (select doc_id, unnest(string_split_regex(text, '{_EM}')) as x, generate_subscripts(string_split_regex(text, '{_EM}'), 1) - 1 as ord from documents where category = 'Emails' and regexp_matches(text, '{_EM}')),
+w as (select doc_id, string_split(regexp_replace(text, '({_SL})', chr(57344) || '\1', 'g'), chr(57344))[2:] as l from documents where category = 'Presentations' and regexp_matches(text, '{_SL}')),
+s as (select doc_id, unnest(l) as x, generate_subscripts(l, 1) - 1 as ord from w),
+v as (select doc_id, coalesce(text, '') as t, contains(coalesce(text, ''), '[Visual Element') as v, string_split_regex(coalesce(text, ''), '\[Visual Element[^\]]*\]:') as l from documents where category = 'Images'),
+g as (select doc_id, v, unnest(case when v then l else [t] end) as x, generate_subscripts(case when v then l else [t] end, 1) - 1 as ord from v),
+every as (select doc_id, row_number() over (partition by doc_id order by i) - 1 as ord, '' as tags, chunk as x from c
+union all select doc_id, ord, 'email_part_' || ord, {S.strip("x")} from e where {S.strip("x")} <> ''
+union all select doc_id, ord, 'slide_' || regexp_extract(x, '^---[ \t\n\r\f\x0B]*SLIDE[ \t\n\r\f\x0B]+([0-9]+)', 1), {S.strip("x")} from s
+union all select doc_id, ord, case when not v then '' when ord = 0 then 'general' else 'visual_element_' || ord end, {S.strip("x")} from g where not v or {S.strip("x")} <> '')
+select doc_id::varchar as doc_id, ord::bigint as ord, tags, length(x)::bigint as n from every"""
+
+
+@query(_DISPATCH.replace("{", "{{").replace("}", "}}"))
 def chk01_dispatch(spark, folder):
     d = load(spark, folder, "documents")
     kinds = F.create_map(*(F.lit(x) for kv in {"Emails": "email", "Presentations": "presentation", "Images": "image"}.items() for x in kv))

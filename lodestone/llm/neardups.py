@@ -32,6 +32,11 @@ COUNTERS, FEWEST_COUNTERS, MOST_COUNTERS = 64, 20, 24
 BLOCK = 16  # bits of a counter's place within a block of counters
 
 
+def joined(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by shuffles: tables made in Arrow batches look far smaller to the optimizer than they are, and a broadcast would pass whole through the driver."""
+    return a.hint("merge").join(b.hint("merge"), on, how)
+
+
 def prefix_length(size: int, least: float) -> int:
     return size - math.ceil(round(least * size, 9)) + 1
 
@@ -210,12 +215,12 @@ def similar_classes(classes: DataFrame, least: float) -> DataFrame:
     prefix = prefixes(classes, rarity(classes.select("text"), bits), least)
     a, b = (prefix.select("token", F.col("key").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
     near = (F.least("size_a", "size_b") >= F.lit(least) * F.greatest("size_a", "size_b") - 1e-9) & (F.col("a") < F.col("b"))
-    candidates = a.join(b, "token").where(near).select("a", "b", "size_a", "size_b").distinct()
+    candidates = joined(a, b, "token").where(near).select("a", "b", "size_a", "size_b").distinct()
     # each step joins only what is needed to drop candidates, the texts last
     of = lambda column: [classes.select(F.col("key").alias(x), F.col(column).alias(f"{column}_{x}")) for x in "ab"]
     maps, texts = of("bitmap"), of("text")
-    passed = alike_bitmaps(candidates.join(maps[0], "a").join(maps[1], "b"), least)
-    return compared(passed.join(texts[0], "a").join(texts[1], "b"), least)
+    passed = alike_bitmaps(joined(joined(candidates, maps[0], "a"), maps[1], "b"), least)
+    return compared(joined(joined(passed, texts[0], "a"), texts[1], "b"), least)
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, least: float = 0.7, fewest: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -228,15 +233,15 @@ def near_duplicates(docs: DataFrame, key: str, text: str, least: float = 0.7, fe
     src = once(docs.select(docs[key].alias("key"), docs[text].alias("text") if isinstance(text, str) else text.alias("text")).where("text is not null"), "key")
     found = cut(described(src, fewest))
     classes = cut(found.groupBy("class").agg(F.min("key").alias("key"), F.min_by("text", "key").alias("text"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")))
-    members = found.select("key", "class").join(classes.select("class", F.col("key").alias("first")), "class").select("key", F.col("first").alias("class"))
+    members = joined(found.select("key", "class"), classes.select("class", F.col("key").alias("first")), "class").select("key", F.col("first").alias("class"))
     return members, similar_classes(classes, least)
 
 
 def similar_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """All pairs of different records that are similar, the smaller key first."""
     a, b = members.select(F.col("key").alias("x"), F.col("class").alias("a")), members.select(F.col("key").alias("y"), F.col("class").alias("b"))
-    own = a.join(b, F.col("a") == F.col("b")).where("x < y").select("x", "y")
-    across = links.select("a", "b").join(a, "a").join(b, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    own = joined(a, b, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    across = joined(joined(links.select("a", "b"), a, "a"), b, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     return own.unionByName(across).select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b"))
 
 
@@ -250,9 +255,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = joined(both.where("b > a"), low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        small = joined(large, low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         new = cut(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
             break
@@ -267,7 +272,7 @@ def groups(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     links = cut(links.select("a", "b"))  # read by the links and in the first round of the components
     sizes = members.groupBy("class").agg(F.count("*").alias("n"))
     ends = links.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("class"), F.col("a").alias("other")))
-    more = ends.join(sizes.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("n").alias("more"))
+    more = joined(ends, sizes.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("n").alias("more"))
     roots = components(links.select("a", "b")).withColumnRenamed("node", "class")
-    out = members.join(sizes, "class").join(more, "class", "left").join(roots, "class", "left")
+    out = joined(joined(joined(members, sizes, "class"), more, "class", "left"), roots, "class", "left")
     return out.select(F.col("key").alias(key), F.col("class").alias("class_id"), F.coalesce("root", "class").alias("group_id"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))

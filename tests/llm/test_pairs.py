@@ -72,6 +72,13 @@ def test_near_duplicates_of_nothing(spark):
     assert neardups.similar_pairs(members, links, "k").count() == 0 and neardups.groups(members, links, "k").count() == 0
 
 
+def test_near_duplicates_broadcast_no_table(spark, tmp_path):
+    spark.createDataFrame([(f"{i:03d}", " ".join(f"w{i // 2}x{j}" for j in range(60 + i % 2))) for i in range(40)], "k string, text string").write.parquet(f"{tmp_path}/t")
+    members, links = neardups.near_duplicates(spark.read.parquet(f"{tmp_path}/t"), "k", "text")
+    for out in (neardups.similar_pairs(members, links, "k"), neardups.groups(members, links, "k")):
+        assert out.count() > 0 and "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(60)] + [("x", "y"), ("z", "z")], "a string, b string")
     got = {r.node: r.root for r in neardups.components(e).collect()}

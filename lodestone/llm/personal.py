@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import parts_of
-from lodestone.tables import spread
+from lodestone.tables import cut, spread
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
-#: Entries of the lexicon; names beyond it are left out by frequency, and the README says so.
+#: Entries of a lexicon that is given to every worker whole; of a larger one each text gets the names that it may have, with the same result.
 MOST_NAMES = 200_000
 # Words that show what stands beside them.
 #: Beside them, an at-sign may stand between blanks.
@@ -76,6 +76,8 @@ MIDDLE_AFTER = re.compile(rf"{GAP}[A-Z]\.(?![\w.])")
 COMMA = re.compile(rf",{GAP}")
 BROKEN = re.compile(r"(?<![^\W\d_])([^\W\d_]+)[-¬]\r?\n[>| \t]*([^\W\d_]+)")
 NEXT_WORD = re.compile(r"[ \t]+(?:&[ \t]+)?([A-Z]\w*)")
+NAME_BEGIN = re.compile(r"(?<![\w\-'’@])(?=[^\W\d_])")
+NAME_RUN = re.compile(r"[\w'’\-\u0300-\u036f]+")  # upper-casing takes some letters apart into a letter and a mark
 
 
 # --- the lexicon ----------------------------------------------------------------------------------------------------
@@ -120,22 +122,23 @@ class Finder:
         import ahocorasick
 
         self.firsts, self.lasts = firsts, lasts
-        self.automaton = ahocorasick.Automaton()
+        anchors: dict[str, list[str]] = {}  # a name may be a cue as well
         for at in AT_SIGNS:
-            self.automaton.add_word(at, ("at", at))
+            anchors.setdefault(at, []).append("at")
         for word in {c.split(" ")[0] for c in ID_CUES}:
             for form in {word, word.lower(), word.upper(), word.capitalize()}:
-                self.automaton.add_word(form, ("id", form))
+                anchors.setdefault(form, []).append("id")
         for kind in STREET_KINDS:
-            self.automaton.add_word(" " + kind, ("street", " " + kind))
-            self.automaton.add_word("\n" + kind, ("street", "\n" + kind))
-            self.automaton.add_word(">" + kind, ("street", ">" + kind))
+            for before in " \n>":
+                anchors.setdefault(before + kind, []).append("street")
         for digit in "0123456789":
-            self.automaton.add_word(digit, ("digit", digit))
-        for name in firsts | lasts:
-            for form in {title(name), name.upper()}:
-                self.automaton.add_word(form, ("name", form))
-        self.automaton.add_word("IBAN", ("account", "IBAN"))
+            anchors.setdefault(digit, []).append("digit")
+        for form in {f for name in firsts | lasts for f in (title(name), name.upper())}:
+            anchors.setdefault(form, []).append("name")
+        anchors.setdefault("IBAN", []).append("account")
+        self.automaton = ahocorasick.Automaton()
+        for form, kinds in anchors.items():
+            self.automaton.add_word(form, (kinds, form))
         self.automaton.make_automaton()
 
     def find(self, t: str) -> list[tuple[int, int, str]]:
@@ -143,27 +146,28 @@ class Finder:
         found: list[tuple[int, int, str]] = []
         names: list[tuple[int, int, str]] = []
         rung = 0  # where the last telephone number ends
-        for last, (what, form) in self.automaton.iter(t):
+        for last, (kinds, form) in self.automaton.iter(t):
             a, b = last - len(form) + 1, last + 1
-            if what == "digit":
-                if a and t[a - 1] in "0123456789":
-                    continue
-                found += turned(t, a)
-                if a >= rung and (m := phone(t, a, rung)):
-                    rung = m.end()
-                    if 7 <= sum(c.isdigit() for c in m.group()) <= 20 and not NUMBER_CONTEXT.search(t, max(0, m.start() - 24), m.start()):
-                        found.append((m.start(), rung, "phone"))
-            elif what == "name":
-                if not (a and (t[a - 1].isalnum() or t[a - 1] in "_-'’@")) and not (b < len(t) and (t[b].isalnum() or t[b] in "_@")):
-                    names.append((a, b, form))
-            elif what == "at":
-                found += email(t, a, b, form)
-            elif what == "id":
-                found += identifier(t, a, b)
-            elif what == "account":
-                found += account(t, b)
-            else:
-                found += street(t, a, b)
+            for what in kinds:
+                if what == "digit":
+                    if a and t[a - 1] in "0123456789":
+                        continue
+                    found += turned(t, a)
+                    if a >= rung and (m := phone(t, a, rung)):
+                        rung = m.end()
+                        if 7 <= sum(c.isdigit() for c in m.group()) <= 20 and not NUMBER_CONTEXT.search(t, max(0, m.start() - 24), m.start()):
+                            found.append((m.start(), rung, "phone"))
+                elif what == "name":
+                    if not (a and (t[a - 1].isalnum() or t[a - 1] in "_-'’@")) and not (b < len(t) and (t[b].isalnum() or t[b] in "_@")):
+                        names.append((a, b, form))
+                elif what == "at":
+                    found += email(t, a, b, form)
+                elif what == "id":
+                    found += identifier(t, a, b)
+                elif what == "account":
+                    found += account(t, b)
+                else:
+                    found += street(t, a, b)
         for m in BROKEN.finditer(t):
             whole = (m.group(1) + m.group(2)).lower()
             if (whole in self.firsts or whole in self.lasts) and m.group()[0].isupper():
@@ -303,21 +307,65 @@ def finder(names: tuple[tuple[str, str], ...]) -> Finder:
     return Finder(frozenset(n for n, r in names if r == "first"), frozenset(n for n, r in names if r == "last"))
 
 
+def possible_names(t: str, longest: int) -> set[str]:
+    """What in a text the finder may take for a form of a name of at most so many characters, and what else it looks up for it."""
+    out = set()
+    for m in NAME_BEGIN.finditer(t):
+        a = m.start()
+        if not t[a].isupper():
+            continue
+        for b in range(a + 1, NAME_RUN.match(t, a, a + longest).end() + 1):
+            if not (b < len(t) and (t[b].isalnum() or t[b] in "_@")):
+                form, low = t[a:b], t[a:b].lower()
+                out.add(form)
+                if form not in (title(low), low.upper()):
+                    out.add(low)
+    return out | {whole for m in BROKEN.finditer(t) if m.group()[0].isupper() and len(whole := (m.group(1) + m.group(2)).lower()) <= longest}
+
+
+def with_names(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """record_id, field, text and names (name, role): those of ``names`` that the text may have."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(form, name, role) for name, role in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for form in {name, title(name), name.upper()}]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for k in range(3)], ["form", "name", "role"])
+
+    forms = cut(names.select("name", "role").mapInArrow(spell, "form string, name string, role string"))
+    longest = forms.agg(F.max(F.length("form"))).first()[0]
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, part in parts_of(b.column(1), 1_000_000):
+                ids = b.column(0).slice(first, len(part)).to_pylist()
+                rows = [(i, w) for i, t in zip(ids, part) if t for w in possible_names(t, longest)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for k in range(2)], ["id", "form"])
+
+    src = texts.withColumn("id", F.sha2("text", 256))
+    found = spread(src.select("id", "text")).mapInArrow(words, "id string, form string").hint("merge").join(forms.hint("merge"), "form")
+    own = found.groupBy("id").agg(F.collect_set(F.struct("name", "role")).alias("names"))
+    return src.hint("merge").join(own.hint("merge"), "id", "left").select("record_id", "field", "text", "names")
+
+
 def scan(texts: DataFrame, names: DataFrame) -> DataFrame:
     """record_id, field, found (kind, start_char from 1, end_char, value) and redacted of ``texts`` (record_id, field, text).
 
     In ``redacted`` each item is replaced by its kind in brackets and all else is unchanged.  Null texts give null and no
     items, empty texts stay empty; of rows of one record and field each is answered; texts are searched whole.
     """
-    lexicon = tuple(sorted((r.name, r.role) for r in names.orderBy(F.desc("n"), "name", "role").limit(MOST_NAMES).collect()))
-    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
+    some = names.select("name", "role").limit(MOST_NAMES + 1).collect()
+    whole = len(some) <= MOST_NAMES
+    shared = texts.sparkSession.sparkContext.broadcast(tuple(sorted((r.name, r.role) for r in some)) if whole else None)
     src = texts.select(F.col("record_id").cast("string").alias("record_id"), "field", "text")
+    src = src if whole else with_names(src, names)
     item = pa.struct([("kind", pa.string()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = finder(shared.value)
+        own = finder(shared.value) if whole else None
         for b in batches:
             for first, part in parts_of(b.column(2), 1_000_000):
+                if not whole:
+                    own = finder(tuple(sorted({(x["name"], x["role"]) for row in b.column(3).slice(first, len(part)).to_pylist() for x in row or ()})))
                 found, redacted = [], []
                 for t in part:
                     items = own.find(t) if t else []

@@ -220,6 +220,21 @@ def test_personal_tables(spark):
     assert personal.scan(df.limit(0), names.limit(0)).count() == 0
 
 
+def test_large_lexicons_lose_no_name(spark, monkeypatch):
+    lexicon = [("mia", "first", 9), ("berg", "last", 9), ("lund", "last", 2), ("ode-vey", "last", 2), ("o'dea", "last", 2), ("strauß", "last", 2), ("passport", "last", 2)]
+    names = spark.createDataFrame(lexicon, "name string, role string, n long")
+    texts = [
+        "Mia Lund met LUND, Mia, and (Ode-Vey's) M. O'Dea-Berg.", "Mia Lund met LUND, Mia, and (Ode-Vey's) M. O'Dea-Berg.", "ask Mia Od-\ndy and Mia Lu-\n> nd; Lund@x, xLund, STRAUSS",
+        "Passport number 1234567 of Lund", "-Passport number: 1234567; e\u0301Lund", "Lundgren", "", None,
+    ]
+    df = spark.createDataFrame([(str(i), "f", t) for i, t in enumerate(texts)], "record_id string, field string, text string")
+    want = sorted((tuple(r) for r in personal.scan(df, names).collect()), key=str)
+    assert sum(len(r[2] or ()) for r in want) > 12 and any(f.kind == "id_number" for r in want for f in r[2] or ())
+    for most in (0, 1, 3):
+        monkeypatch.setattr(personal, "MOST_NAMES", most)
+        assert sorted((tuple(r) for r in personal.scan(df, names).collect()), key=str) == want
+
+
 # --- scans ----------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def reader():

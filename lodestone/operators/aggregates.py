@@ -27,6 +27,16 @@ def fill_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("name", "filled", (F.col("n") - F.col("filled")).alias("empty"), F.round(percent_share(F.col("filled"), F.col("n")), 6).alias("rate"))
 
 
+def exact_sum(c: str) -> Column:
+    """The sum of doubles, the same in any order of the rows: added as decimals of 18 places, as doubles only if one has 10^9 or more or isn't finite."""
+    small = F.abs(c) < 1e9
+    return F.when(F.bool_and(small), F.sum(F.when(small, F.col(c).cast("decimal(38,18)"))).cast("double")).otherwise(F.sum(c))
+
+
+def exact_mean(c: str) -> Column:
+    return exact_sum(c) / F.nullif(F.count(c), F.lit(0))
+
+
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """AG-19: min, max and mean (2 decimals) of each numeric column."""
     sums = df.agg(*(f(c).cast("double").alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max), ("c", F.avg))))

@@ -229,7 +229,7 @@ def ag14_mode(spark, folder):
 
 @query("select vlm_content_type, count(*) as n, round(avg(vlm_confidence), 6) as confidence, round(sum(processing_cost), 6) as cost from {vlm} group by 1")
 def ag15_type_distribution(spark, folder):
-    return _vlm(spark, folder).groupBy("vlm_content_type").agg(F.count("*").alias("n"), F.round(F.avg("vlm_confidence"), 6).alias("confidence"), F.round(F.sum("processing_cost"), 6).alias("cost"))
+    return _vlm(spark, folder).groupBy("vlm_content_type").agg(F.count("*").alias("n"), F.round(A.exact_mean("vlm_confidence"), 6).alias("confidence"), F.round(A.exact_sum("processing_cost"), 6).alias("cost"))
 
 
 @query(f"select doc_id, md5(string_agg(text_chunk, chr(10) || chr(10) order by chunk_id)) as text_md5 from {{chunks}} where not (text_chunk is null or length({S.strip('text_chunk')}) = 0) and doc_id is not null group by doc_id")

@@ -390,3 +390,15 @@ def test_a_stream_without_rows(spark, tmp_path):
     spark.createDataFrame([], "ts timestamp, kind string, value double").write.parquet(f"{tmp_path}/none")
     s = spark.readStream.schema("ts timestamp, kind string, value double").parquet(f"{tmp_path}/none")
     assert streams.run_available(s.where("value > 0"), "append").count() == 0
+
+
+def test_type_distribution_in_any_order(spark, tmp_path):
+    """The mean of the first type is a tie in its seventh place, and sums of doubles fall below it; the others have odd values or none."""
+    from lodestone.plans import catalog
+
+    rows = [(f"a{i}", "a", 0.0499955, 0.1) for i in range(12)] + [("b1", "b", None, None), ("c1", "c", float("nan"), 1e300), ("c2", "c", 0.5, 1.0), ("d1", "d", 0.0, -0.25), ("d2", "d", 1.0, None)]
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame(part, "doc_id string, vlm_content_type string, vlm_confidence double, processing_cost double")
+        df.write.mode("overwrite").parquet(f"{tmp_path}/vlm_results.parquet")
+        got = {r.vlm_content_type: (r.n, str(r.confidence), r.cost) for r in catalog.queries()["ag15_type_distribution"](spark, str(tmp_path)).collect()}
+        assert got == {"a": (12, "0.049996", 1.2), "b": (1, "None", None), "c": (2, "nan", 1e300), "d": (2, "0.5", -0.25)}
